@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import exact_dedup, media, token_files
+from . import bpe, exact_dedup, media, packing, token_files
 
 
 def _docs(spark, sf_dir):
@@ -20,11 +20,19 @@ def op4_token_output(spark, sf_dir):
     return token_files.read_token_shards(shards)
 
 
+def op5_best_fit_packing(spark, sf_dir):
+    return packing.pack_documents(_docs(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), "word", 1, 4096)
+
+
+def op6_bpe(spark, sf_dir):
+    return bpe.round_trip(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op9_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_duplicates(_docs(spark, sf_dir))
 
 
-QUERIES = {"op1_media": op1_media, "op4_token_output": op4_token_output, "op9_exact_dedup": op9_exact_dedup}
+QUERIES = {f.__name__: f for f in (op1_media, op4_token_output, op5_best_fit_packing, op6_bpe, op9_exact_dedup)}
 
 SQL = {
     "op9_exact_dedup": """
