@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, exact_dedup, media, packing, token_files
+from . import bpe, exact_dedup, licenses, media, packing, quality, token_files, warc
 
 
 def _docs(spark, sf_dir):
@@ -15,6 +15,10 @@ def op1_media(spark, sf_dir):
     return media.media_table(_docs(spark, sf_dir))
 
 
+def op2_warc(spark, sf_dir):
+    return warc.read_archives(warc.write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+
+
 def op4_token_output(spark, sf_dir):
     shards = token_files.write_token_shards(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), "byte", 0)
     return token_files.read_token_shards(shards)
@@ -28,11 +32,19 @@ def op6_bpe(spark, sf_dir):
     return bpe.round_trip(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_quality(spark, sf_dir):
+    return quality.quality_scores(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op9_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_duplicates(_docs(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_media, op4_token_output, op5_best_fit_packing, op6_bpe, op9_exact_dedup)}
+def op10_licenses(spark, sf_dir):
+    return licenses.scan_licenses(_docs(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_media, op2_warc, op4_token_output, op5_best_fit_packing, op6_bpe, op8_quality, op9_exact_dedup, op10_licenses)}
 
 SQL = {
     "op9_exact_dedup": """
