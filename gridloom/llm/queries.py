@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, exact_dedup, licenses, media, packing, quality, token_files, warc
+from . import bpe, exact_dedup, licenses, media, packing, quality, substring, token_files, warc
 
 
 def _docs(spark, sf_dir):
@@ -19,6 +19,10 @@ def op2_warc(spark, sf_dir):
     return warc.read_archives(warc.write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet")))
 
 
+def op3_substring_dedup(spark, sf_dir):
+    return substring.substring_dedup(_docs(spark, sf_dir))
+
+
 def op4_token_output(spark, sf_dir):
     shards = token_files.write_token_shards(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), "byte", 0)
     return token_files.read_token_shards(shards)
@@ -44,9 +48,17 @@ def op10_licenses(spark, sf_dir):
     return licenses.scan_licenses(_docs(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_media, op2_warc, op4_token_output, op5_best_fit_packing, op6_bpe, op8_quality, op9_exact_dedup, op10_licenses)}
+QUERIES = {f.__name__: f for f in (op1_media, op2_warc, op3_substring_dedup, op4_token_output, op5_best_fit_packing, op6_bpe, op8_quality, op9_exact_dedup, op10_licenses)}
 
 SQL = {
+    "op3_substring_dedup": r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS words FROM documents),
+v AS (SELECT doc_id, s, array_to_string(words[s:s + 12], ' ') AS run FROM w, unnest(range(1, len(words) - 11)) AS r(s)),
+f AS (SELECT run, min(doc_id) AS least FROM v GROUP BY run),
+g AS (SELECT doc_id, list(DISTINCT s + k) AS gone FROM v JOIN f USING (run), unnest(range(13)) AS u(k) WHERE least < doc_id GROUP BY doc_id)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+       sha256(array_to_string(CASE WHEN gone IS NULL THEN words ELSE list_filter(words, lambda x, i: NOT list_contains(gone, i)) END, ' ')) AS kept_sha256
+FROM w LEFT JOIN g USING (doc_id)""",
     "op9_exact_dedup": """
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
