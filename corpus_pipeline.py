@@ -25,8 +25,8 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7, on sets of five-word shingles at a similarity of 0.85: of each component the document with the smallest id stays."""
-    return jaccard.keep_one_of_each(docs, 5, 85)
+    """Operator 7, on sets of five-word shingles at a similarity of 0.8: of each component the document with the smallest id stays."""
+    return jaccard.keep_one_of_each(docs, 5, 80)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -68,6 +68,7 @@ def train(texts: pa.Array, labels: np.ndarray, dim: int = 8, epochs: int = 5, ra
         got = features(*text_buffer(texts[k : k + 1]), bits)[0]
         bucket, count = np.unique(got, return_counts=True)
         rows.append((bucket, (count / max(1, count.sum())).astype(np.float32)))
+    epochs = max(epochs, min(60, 300 * batch // max(n, 1)))  # few rows need as many steps as many rows
     steps, done = max(1, epochs * -(-n // batch)), 0
     for _ in range(epochs if 0 < labels.sum() < n else 0):
         order = random.permutation(n)
