@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -22,16 +24,26 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: cuts the lineage, and survives a lost executor."""
     path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.written_to = path
+    return back
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop shuffle files of steps whose results are materialised."""
-    import gc
+def discard(*frames: DataFrame) -> None:
+    """Deletes what ``materialise`` wrote, once all that was made of it is materialised too, and lets Spark drop the shuffle files of finished steps."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    release(SparkSession.active())
+
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def release(spark: SparkSession) -> None:
+    """Spark removes shuffle files when the driver no longer holds their steps; that is noticed by its garbage collector only."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def text_buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import blocks, materialise, ragged, release, text_buffer
+from .runtime import blocks, discard, materialise, ragged, release, text_buffer
 from .segments import BLANKS, Prefix, hash_segments, mix, word_ranges
 
 FAR = 1 << 20
@@ -164,19 +164,22 @@ def repeated_ranges(docs: DataFrame, window: int = 13) -> DataFrame:
     )
     release(spark)
     kept = materialise(rows.join(shared, "a"), "shared-contexts")
-    release(spark)
+    discard(rows, shared)
     plain = kept.where(~F.col("varied") & (F.col("doc") > F.col("least"))).select("doc", "s", "k")
     varied = kept.where("varied").drop("least")
     least = materialise(varied.groupBy("a", "c").agg(F.min("doc").alias("least")), "contexts-least")
     owned = varied.join(least, ["a", "c"])
     copies = owned.where("doc > least").select("doc", "s", "k")
     spots = owned.where("doc = least").groupBy("doc").agg(F.collect_list(F.struct(F.col("s"), F.col("k"))).alias("spots"))
+    release(spark)
     windows = materialise(_windows(docs.select("doc", "text").join(spots, "doc"), window), "windows")
     first = materialise(windows.groupBy("w1", "w2").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").drop("most"), "windows-least")
     release(spark)
     late = windows.join(first, ["w1", "w2"]).where("doc > least").select("doc", "s", F.lit(1).alias("k"))
     every = plain.unionByName(copies).unionByName(late)
-    return materialise(every.groupBy("doc").agg(F.collect_list(F.struct("s", "k")).alias("ranges")), "repeats")
+    ranges = materialise(every.groupBy("doc").agg(F.collect_list(F.struct("s", "k")).alias("ranges")), "repeats")
+    discard(kept, least, windows, first)
+    return ranges
 
 
 def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text: str = "text") -> DataFrame:
