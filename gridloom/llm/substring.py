@@ -11,7 +11,7 @@ Spark then works on anchors. Neighbouring windows with one anchor form a context
 1. Per anchor: least and greatest document and context. Anchors of one document are done. Others are joined to their rows.
 2. An equal context in a smaller document settles all of its windows. Only where an anchor has different contexts are windows compared
    themselves, once for each distinct context.
-Names and hashes are 64 bits each and rows are compared on two of them (anchor and context, or two window hashes): 128 bits verify a repeat.
+Contexts are compared on anchor and hash, 128 bits; windows on two hashes of 64 and 32 bits of their own.
 """
 
 from __future__ import annotations
@@ -131,8 +131,8 @@ def _rows(docs: DataFrame, window: int) -> DataFrame:
 
 
 def _windows(docs: DataFrame, window: int) -> DataFrame:
-    """Two hashes of each window of the contexts listed in ``spots`` (structs s, k)."""
-    fields = pa.schema([("w1", pa.int64()), ("w2", pa.int64()), ("doc", pa.int64()), ("s", pa.int32())])
+    """Two hashes (of 64 and 32 bits) of each window of the contexts listed in ``spots`` (structs s, k)."""
+    fields = pa.schema([("w1", pa.int64()), ("w2", pa.int32()), ("doc", pa.int64()), ("s", pa.int32())])
 
     def run(batches):
         for batch in blocks(batches, "text"):
@@ -146,9 +146,9 @@ def _windows(docs: DataFrame, window: int) -> DataFrame:
             at = ragged(s + first[d], k)
             w1, w2 = Prefix(h1, 0).hash(at, at + window), Prefix(h2, 1).hash(at, at + window)
             d = np.repeat(d, k)
-            yield pa.RecordBatch.from_arrays([pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), pa.array(batch.column("doc").to_numpy()[d]), pa.array((at - first[d]).astype(np.int32))], schema=fields)
+            yield pa.RecordBatch.from_arrays([pa.array(w1.view(np.int64)), pa.array((w2 >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(batch.column("doc").to_numpy()[d]), pa.array((at - first[d]).astype(np.int32))], schema=fields)
 
-    return docs.mapInArrow(run, "w1 long, w2 long, doc long, s int")
+    return docs.mapInArrow(run, "w1 long, w2 int, doc long, s int")
 
 
 def repeated_ranges(docs: DataFrame, window: int = 13) -> DataFrame:
@@ -173,6 +173,7 @@ def repeated_ranges(docs: DataFrame, window: int = 13) -> DataFrame:
     spots = owned.where("doc = least").groupBy("doc").agg(F.collect_list(F.struct(F.col("s"), F.col("k"))).alias("spots"))
     release(spark)
     windows = materialise(_windows(docs.select("doc", "text").join(spots, "doc"), window), "windows")
+    release(spark)
     first = materialise(windows.groupBy("w1", "w2").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").drop("most"), "windows-least")
     release(spark)
     late = windows.join(first, ["w1", "w2"]).where("doc > least").select("doc", "s", F.lit(1).alias("k"))
