@@ -266,9 +266,9 @@ def sliding_sum(spark, d):
     return W.sliding(t(spark, d, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"], "o_totalprice", "x", 2, 1).select("o_orderkey", r("x", 2).alias("total"))
 
 
-@query("SELECT o_orderkey, round(avg(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING), 2) AS mean FROM orders")
+@query("SELECT o_orderkey, round(avg(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING), 7) AS mean FROM orders")
 def growing_avg(spark, d):
-    return W.running(t(spark, d, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"], "o_totalprice", "x", "average").select("o_orderkey", r("x", 2).alias("mean"))
+    return W.running(t(spark, d, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"], "o_totalprice", "x", "average").select("o_orderkey", r("x", 7).alias("mean"))
 
 
 @query("SELECT o_orderkey, lag(o_totalprice) OVER w AS above, lead(o_totalprice, 2) OVER w AS below FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)")

@@ -1,0 +1 @@
+"""Reading and writing workbooks, stored versions, CSV and reports."""
