@@ -58,6 +58,12 @@ class Compiler:
 
     # -- nodes ---------------------------------------------------------------------------------------------------------
 
+    def hold(self, value: Column) -> Column:
+        """A result as a column of the frame: what stands above names it several times, and expressions would double at each level."""
+        name = self.name()
+        self.frame = self.frame.withColumn(name, value.cast(V.CELL))
+        return F.col(name)
+
     def value(self, n) -> Column:
         if isinstance(n, (L.Number, L.Text, L.Bool)):
             return V.cell(V.TEXT, s=n.value) if isinstance(n, L.Text) else V.literal(n.value)
@@ -70,15 +76,15 @@ class Compiler:
         if isinstance(n, L.Foreign):
             return V.error("#REF!")
         if isinstance(n, L.Cell):
-            return self.cell(n)
+            return self.hold(self.cell(n))
         if isinstance(n, L.Unary):
             x = self.value(n.x)
-            return V.arithmetic("-", V.literal(0.0), x) if n.op == "-" else V.to_number(x) if n.op == "+" else V.arithmetic("/", x, V.literal(100.0))
+            return self.hold(V.arithmetic("-", V.literal(0.0), x) if n.op == "-" else V.to_number(x) if n.op == "+" else V.arithmetic("/", x, V.literal(100.0)))
         if isinstance(n, L.Binary):
             a, b = self.value(n.a), self.value(n.b)
-            return V.concat(a, b) if n.op == "&" else V.arithmetic(n.op, a, b) if n.op in "+-*/^" else V.compare(n.op, a, b)
+            return self.hold(V.concat(a, b) if n.op == "&" else V.arithmetic(n.op, a, b) if n.op in "+-*/^" else V.compare(n.op, a, b))
         if isinstance(n, L.Call):
-            return self.call(n)
+            return self.hold(self.call(n))
         raise NotCompiled(type(n).__name__)  # ranges and arrays as scalars
 
     def cell(self, ref: L.Cell) -> Column:
@@ -329,7 +335,7 @@ def moving_mask(c: Column, crit: Column) -> Column:
     def test(a: Column, b: Column) -> Column:
         return F.when(op == "<", a < b).when(op == "<=", a <= b).when(op == ">", a > b).when(op == ">=", a >= b).otherwise(a == b)
 
-    same_text = (c["k"] == V.TEXT) & F.when(op.isin("", "=", "<>"), low.rlike(pattern)).otherwise(test(low, t))
+    same_text = (c["k"] == V.TEXT) & F.when(op.isin("", "=", "<>"), F.regexp_like(low, pattern)).otherwise(test(low, t))
     as_number = (c["k"] == V.NUMBER) & test(V.r15(c["n"]), V.r15(n))
     as_bool = (c["k"] == V.BOOL) & test(c["n"], F.when(t == "true", 1.0).otherwise(0.0))
     blank = F.when(op == "", (c["k"] == V.EMPTY) | ((c["k"] == V.TEXT) & (c["s"] == ""))).otherwise((c["k"] == V.EMPTY) & op.isin("=", "<>"))
