@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 from .runtime import materialise
 
 
-def _star(edges: DataFrame, small: bool) -> DataFrame:
+#: Edges that are worth a task of their own.
+EDGES_A_TASK = 50_000
+
+
+def _star(edges: DataFrame, small: bool, tasks: int) -> DataFrame:
     """``edges``: distinct (u, v), u > v. Links what a node sees to the least of it: greater neighbours in a large star, else lesser ones and the node."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if not small else edges
-    least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "star")
+    least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")).coalesce(tasks), "star")
     joined = both.join(least, "u")
     if small:
         out = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
@@ -24,9 +28,10 @@ def connected_components(edges: DataFrame, most: int = 60) -> DataFrame:
     """(node, component: the least node reachable) of every node of ``edges`` (u, v: long). Rounds end when nothing changes; their number grows
     with the logarithm of the longest chain. Self-loops and repeated edges are allowed; no edges give an empty result. Nothing but two sums gets to the driver."""
     now = materialise(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
-    mark = None
+    tasks, mark = 1 + now.count() // EDGES_A_TASK, None  # a step has no more edges than nodes and edges at first
     for _ in range(most):
-        now = materialise(_star(materialise(_star(now, False), "large"), True), "small")
+        large = materialise(_star(now, False, tasks).coalesce(tasks), "large")
+        now = materialise(_star(large, True, tasks).coalesce(tasks), "small")
         row = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v") % 1000003).alias("s")).first()
         if mark == (row["n"], row["s"]):
             break

@@ -5,7 +5,7 @@ global order: n-grams of few documents first. Index lists are the sets of one pr
 pairs of blocks of a long list are tasks of their own. Sets carry a bitmap of 1024 parities; two bitmaps that differ in more places than the threshold lets two sets of these sizes
 differ rule a pair out, without the sets. So a block is skipped or cut down before any set is read.
 
-Relations between sets save the rest. In long lists each set is first checked against the one nearest to it only. What that links has its answers
+Relations between sets save the rest. Each set is first checked against the one nearest to it only, by bitmaps. What that links has its answers
 derived from each other: in a second step, pairs inside one component are skipped, and only pairs between components are checked.
 Every link between different components is thus found, and links inside are counted where they were checked. The check itself compares whole sets.
 """
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .runtime import blocks, materialise, release, text_buffer
+from .runtime import blocks, discard, materialise, release, text_buffer
 from .segments import BLANKS, LOWER, Prefix, hash_segments, mix, word_ranges
 
 BITS = 1024
@@ -61,6 +61,13 @@ def bitmap(s: np.ndarray) -> np.ndarray:
     return np.packbits(parity.astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def wide_bitmap(s: np.ndarray) -> np.ndarray:
+    """The same with at least four places for each member (a power of two): its differences are nearly those of the sets."""
+    bits = max(BITS, 1 << (4 * len(s) - 1).bit_length())
+    parity = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(parity.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _summary(docs: DataFrame, n: int) -> DataFrame:
     """A row of each document (its set's size, digests, bitmap), and rows (n-gram, count) of n-grams that are frequent in their block."""
     fields = pa.schema([("row", pa.int64()), ("doc", pa.int64()), ("n", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64()), ("bits", pa.list_(pa.int64())), ("gram", pa.int64()), ("count", pa.int64())])
@@ -126,7 +133,7 @@ def _differences(a: Column, b: Column) -> Column:
 def block_pairs(own: pd.DataFrame, gram: int, same: bool, percent: int, nearest: bool) -> pd.DataFrame:
     """Pairs of one block, or of two (``same`` is False: between ``part`` 0 and 1), that sizes and bitmaps allow, that share no earlier long
     list, and that don't have one component. ``nearest``: only the best partner of each set."""
-    none = pd.DataFrame({"x": np.zeros(0, np.int64), "y": np.zeros(0, np.int64)})
+    none = pd.DataFrame({"x": np.zeros(0, np.int64), "y": np.zeros(0, np.int64), "gap": np.zeros(0, np.int32)})
     if len(own) < 2:
         return none
     own = own.sort_values("row")
@@ -162,8 +169,8 @@ def block_pairs(own: pd.DataFrame, gram: int, same: bool, percent: int, nearest:
         order = np.argsort(d, kind="stable")
         _, first = np.unique(np.stack([x[order], y[order]], 1).ravel(), return_index=True)
         pick = np.unique(order[first // 2])
-        x, y = x[pick], y[pick]
-    return pd.DataFrame({"x": rows[x], "y": rows[y]})
+        x, y, d = x[pick], y[pick], d[pick]
+    return pd.DataFrame({"x": rows[x], "y": rows[y], "gap": d.astype(np.int32)})
 
 
 def _long_pairs(members: DataFrame, percent: int, nearest: bool) -> DataFrame:
@@ -176,7 +183,7 @@ def _long_pairs(members: DataFrame, percent: int, nearest: bool) -> DataFrame:
     def run(key, own):
         return block_pairs(own, int(key[0]), key[1] == key[2], percent, nearest)
 
-    return dealt.groupBy("gram", "i", "j").applyInPandas(run, "x long, y long")
+    return dealt.groupBy("gram", "i", "j").applyInPandas(run, "x long, y long, gap int")
 
 
 def similar_sets(docs: DataFrame, n: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame]:
@@ -192,33 +199,43 @@ def similar_sets(docs: DataFrame, n: int = 4, percent: int = 85) -> tuple[DataFr
     lists = materialise(prefixes.groupBy("gram").agg(F.min("d1").alias("a"), F.max("d1").alias("b"), F.count(F.lit(1)).alias("size")).where("a <> b").select("gram", "size"), "lists")
     release(spark)
     index = materialise(prefixes.join(lists, "gram").dropDuplicates(["gram", "d1"]), "index")
-    release(spark)
+    discard(prefixes, lists)
     # short lists: all pairs of sizes that fit
     short = index.where(F.col("size") <= LONG)
     fits = (F.col("n") >= F.col("n2")) & (F.col("n") * percent <= F.col("n2") * 100)
     pairs = short.select("gram", "d1", "n").join(short.select("gram", F.col("d1").alias("e1"), F.col("n").alias("n2")), "gram").where(fits & ((F.col("n") > F.col("n2")) | (F.col("d1") > F.col("e1")))).select("d1", "e1").distinct()
     side = nodes.select("d1", "row", "n", "bits")
     pairs = materialise(pairs, "pairs").join(side, "d1").join(side.select(F.col("d1").alias("e1"), F.col("row").alias("row2"), F.col("n").alias("n2"), F.col("bits").alias("bits2")), "e1")
-    near = pairs.where(_differences(F.col("bits"), F.col("bits2")) <= _may_differ(F.col("n"), F.col("n2"), percent)).select(F.col("row").alias("x"), F.col("row2").alias("y"))
+    gap = _differences(F.col("bits"), F.col("bits2"))
+    near = pairs.withColumn("gap", gap).where(F.col("gap") <= _may_differ(F.col("n"), F.col("n2"), percent)).select(F.col("row").alias("x"), F.col("row2").alias("y"), "gap")
     long = index.where(F.col("size") > LONG)
     grams = materialise(long.groupBy("d1").agg(F.collect_list("gram").alias("grams")).join(side, "d1"), "long-sets")
     members = long.select("gram", "size", "d1").join(grams, "d1").drop("d1")
     near = materialise(near.unionByName(_long_pairs(members.withColumn("component", F.col("row")), percent, True)), "near")
-    links = _verify(docs, nodes, near, n, percent)
+    release(spark)
+    # each set beside the nearest one; then only what lies between components
+    ends = near.select("x", "y", "gap").unionByName(near.select(F.col("y").alias("x"), F.col("x").alias("y"), "gap"))
+    best = materialise(ends.groupBy("x").agg(F.min_by("y", F.struct("gap", "y")).alias("y")), "nearest")
+    links = _verify(docs, nodes, best, n, percent)
+    known = materialise(connected_components(links), "known").withColumnRenamed("node", "row")
+    of = lambda c: known.select(F.col("row").alias(c), F.col("component").alias(f"{c}_in"))
+    apart = near.join(of("x"), "x", "left").join(of("y"), "y", "left").where(F.coalesce("x_in", "x") != F.coalesce("y_in", "y")).select("x", "y")
     if not grams.isEmpty():
-        known = materialise(connected_components(links), "known").withColumnRenamed("node", "row")
         more = _long_pairs(members.join(known, "row", "left").withColumn("component", F.coalesce("component", "row")), percent, False)
-        more = materialise(more.join(near, ["x", "y"], "left_anti"), "more")
-        if not more.isEmpty():
-            links = materialise(links.unionByName(_verify(docs, nodes, more, n, percent)).distinct(), "links")
+        apart = apart.unionByName(more.select("x", "y"))
+    tried = best.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v"))
+    apart = materialise(apart.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct().join(tried, ["u", "v"], "left_anti").select(F.col("u").alias("x"), F.col("v").alias("y")), "apart")
+    release(spark)
+    if not apart.isEmpty():
+        links = materialise(links.unionByName(_verify(docs, nodes, apart, n, percent)).distinct(), "links")
     return rows.drop("bits").join(nodes.select("d1", "d2", F.col("row").alias("node")), ["d1", "d2"], "left"), links
 
 
 def _verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Links among ``pairs`` (x, y), by comparing whole sets. Sets of the documents named are made again from their texts."""
+    """Links among ``pairs`` (x, y), by comparing whole sets where wide bitmaps leave it open. Sets of the documents named are made again from their texts."""
     pairs = pairs.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct()
     wanted = materialise(pairs.select(F.col("u").alias("row")).unionByName(pairs.select(F.col("v").alias("row"))).distinct().join(nodes.select("row", "doc", "d1", "d2"), "row"), "wanted")
-    fields = pa.schema([("row", pa.int64()), ("grams", pa.list_(pa.int64()))])
+    fields = pa.schema([("row", pa.int64()), ("n", pa.int32()), ("wide", pa.list_(pa.int64())), ("grams", pa.list_(pa.int64()))])
 
     def run(batches):
         for batch in blocks(batches, "text"):
@@ -226,12 +243,24 @@ def _verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, percent
             one, two = digests(each)
             same = (one.view(np.int64) == batch.column("d1").to_numpy()) & (two.view(np.int64) == batch.column("d2").to_numpy())
             at = np.flatnonzero(same)
-            yield pa.RecordBatch.from_arrays([pa.array(batch.column("row").to_numpy()[at]), pa.array([each[i].view(np.int64) for i in at], pa.list_(pa.int64()))], schema=fields)
-
-    whole = materialise(docs.join(wanted, "doc").select("row", "d1", "d2", "text").mapInArrow(run, "row long, grams array<bigint>").dropDuplicates(["row"]), "whole-sets")
+            many = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(batch.column("row").to_numpy()[at]), pa.array([len(each[i]) for i in at], pa.int32()), pa.array([wide_bitmap(each[i]) for i in at], many), pa.array([each[i].view(np.int64) for i in at], many)], schema=fields)
+
+    whole = materialise(docs.join(wanted, "doc").select("row", "d1", "d2", "text").mapInArrow(run, "row long, n int, wide array<bigint>, grams array<bigint>").dropDuplicates(["row"]), "whole-sets")
+    release(docs.sparkSession)
+    # wide bitmaps first; where one has twice the places, its halves are folded onto each other
+    left, right = (whole.select(F.col("row").alias(u), F.col("n").alias(f"n{u}"), F.col("wide").alias(f"w{u}")) for u in ("u", "v"))
+    half = lambda w, k: F.zip_with(F.slice(w, 1, k), F.slice(w, k + 1, k), lambda x, y: x.bitwiseXOR(y))
+    wu, wv = F.col("wu"), F.col("wv")
+    fold = lambda w, o: F.when(F.size(w) == F.size(o) * 2, half(w, F.size(o))).otherwise(w)
+    close = _differences(fold(wu, wv), fold(wv, wu)) <= _may_differ(F.col("nu"), F.col("nv"), percent)
+    pairs = materialise(pairs.join(left, "u").join(right, "v").where(close).select("u", "v"), "close")
+    release(docs.sparkSession)
     both = pairs.join(whole.select(F.col("row").alias("u"), F.col("grams").alias("a")), "u").join(whole.select(F.col("row").alias("v"), F.col("grams").alias("b")), "v")
     shared = F.size(F.array_intersect("a", "b"))
-    return materialise(both.where(shared * (100 + percent) >= percent * (F.size("a") + F.size("b"))).select("u", "v"), "links")
+    links = materialise(both.where(shared * (100 + percent) >= percent * (F.size("a") + F.size("b"))).select("u", "v"), "links")
+    discard(wanted, whole)
+    return links
 
 
 def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text: str = "text") -> DataFrame:

@@ -248,10 +248,10 @@ def test_jaccard_long_lists(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 16)
     rng = random.Random(3)
     rows = []
-    for g in range(3):
-        base = [f"w{rng.randint(0, 400)}" for _ in range(60 + 40 * g)]
+    for g, size in enumerate((60, 100, 258)):  # the last lies where wide bitmaps double
+        base = [f"w{rng.randint(0, 400)}" for _ in range(size)]
         for k in range(40):
-            w = list(base)
+            w = list(base) + [f"t{k}-{i}" for i in range(rng.randint(0, 5))]
             for _ in range(rng.randint(0, 4)):
                 w[rng.randrange(len(w))] = f"v{rng.randint(0, 10_000)}"
             rows.append((g * 100 + k, " ".join(w)))
