@@ -7,7 +7,6 @@ groups of the same bounded size. So no task holds more than about ``group_size``
 
 from __future__ import annotations
 
-import heapq
 import zlib
 from bisect import bisect_right, insort
 
@@ -87,38 +86,65 @@ def _exchange(a: Bin, b: Bin, room: int):
     return plan
 
 
-def local_search(sizes: list[int], bins: list[list[int]], capacity: int, partners: int = 128) -> list[list[int]]:
+def local_search(sizes: list[int], bins: list[list[int]], capacity: int) -> list[list[int]]:
     """Takes the emptiest bin and pours it into fuller ones by moves and exchanges that raise the sum of squared fills, until it is
-    empty or none of its ``partners`` fullest underfull bins gains; then the next. Ends at the least possible number of bins."""
+    empty or none of all underfull bins gains; then the next. Ends at the least possible number of bins.
+
+    Bins that get full leave the search. What the source can give (a document, or two for one) is marked by size; a document that stands in a bin
+    with some free room can be exchanged where a mark lies above its size by no more than that room. So one pass over sizes and rooms finds every bin that gains."""
     full = [b for b in bins if sum(sizes[i] for i in b) == capacity]
-    work = [Bin((sizes[i], i) for i in b) for b in bins if sum(sizes[i] for i in b) < capacity]
+    every = [Bin((sizes[i], i) for i in b) for b in bins if sum(sizes[i] for i in b) < capacity]
     least = -(-sum(sizes) // capacity)
-    work.sort(key=lambda b: b.fill)
-    settled: list[Bin] = []
-    while work and len(full) + len(settled) + len(work) > least:
-        source = work.pop(0)
-        others = sorted((b for b in heapq.nlargest(partners, [*work, *settled], key=lambda b: b.fill) if b.fill < capacity), key=lambda b: -b.fill)
-        gained = True
-        while gained and source.docs:
+    fill = np.array([b.fill for b in every], np.int64)
+    size, at = np.array(sizes, np.int64), np.full(len(sizes), len(every))  # the last place: documents of full bins
+    for k, b in enumerate(every):
+        at[[i for _, i in b.docs]] = k
+    mine = np.flatnonzero(at < len(every))
+    work, count, emptied = set(range(len(every))), len(bins), set()
+
+    def gaining(source: int) -> list[int]:
+        own = np.unique([s for s, _ in every[source].docs])
+        given = np.zeros(3 * capacity + 1, np.int32)
+        given[own] = 1
+        given[np.add.outer(own, own).ravel()] = 1
+        given = np.cumsum(given)
+        room = np.where(fill >= fill[source], capacity - fill, 0)
+        room[source] = 0
+        y, r = size[mine], room[at[mine]]
+        hit = room >= own[0]
+        hit[at[mine[given[y + r] > given[y]]]] = True
+        hit[room == 0] = False
+        found = np.flatnonzero(hit)
+        return found[np.argsort(-fill[found], kind="stable")].tolist()
+
+    while work and count > least:
+        source = min(work, key=lambda k: (fill[k], k))
+        work.discard(source)
+        a, gained = every[source], True
+        while gained and a.docs:
             gained = False
-            for b in others:
-                if not source.docs:
-                    break
-                if b.fill == capacity or b.fill < source.fill:
-                    continue
-                while source.docs and (plan := _exchange(source, b, capacity - b.fill)):
+            for k in gaining(source):
+                b = every[k]
+                while a.docs and a.fill <= b.fill < capacity and (plan := _exchange(a, b, capacity - b.fill)):
                     for doc in plan[0]:
-                        source.take(doc)
+                        a.take(doc)
+                        b.put(doc)
+                        at[doc[1]] = k
                     if plan[1]:
                         b.take(plan[1])
-                        source.put(plan[1])
-                    for doc in plan[0]:
-                        b.put(doc)
+                        a.put(plan[1])
+                        at[plan[1][1]] = source
                     gained = True
-        if source.docs:
-            settled.append(source)
-        work.sort(key=lambda b: b.fill)
-    return full + [[i for _, i in b.docs] for b in [*settled, *work] if b.docs]
+                fill[k], fill[source] = b.fill, a.fill
+                if b.fill == capacity:
+                    work.discard(k)
+                if not a.docs:
+                    break
+        if not a.docs:
+            emptied.add(source)
+            fill[source] = capacity  # no candidate any more
+            count -= 1
+    return full + [[i for _, i in b.docs] for k, b in enumerate(every) if k not in emptied]
 
 
 def pack(sizes: list[int], capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

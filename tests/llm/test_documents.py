@@ -166,6 +166,17 @@ def test_local_search():
     assert packing.best_fit([], 10) == [] and packing.local_search([], [], 10) == []
 
 
+def test_local_search_of_many_bins():
+    """More bins than 128 get full on the way; the search goes on, and tries all underfull bins."""
+    rng = random.Random(1)
+    for least, most, capacity, n, saved in ((1000, 2000, 4096, 5000, 50), (20, 50, 100, 4000, 25)):
+        sizes = [rng.randint(least, most) for _ in range(n)]
+        before = packing.best_fit(sizes, capacity)
+        bins = packing.local_search(sizes, before, capacity)
+        assert sorted(i for b in bins for i in b) == list(range(n)) and all(sum(sizes[i] for i in b) <= capacity for b in bins)
+        assert len(bins) <= len(before) - saved
+
+
 def test_bpe(docs, rows, nothing, odd):
     path = P.path("byte_bpe_multi_50k.tiktoken")
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
