@@ -94,11 +94,15 @@ def interval_sweep(old: DataFrame, new: DataFrame, group: list[str], key: str) -
     """Aligns two sets of half-open intervals (lo, hi, key) of each group: elementary intervals with the key on both sides, and added, removed, changed or same."""
     sides = old.withColumn("__side", F.lit("old")).unionByName(new.withColumn("__side", F.lit("new")))
     points = sides.select(*group, F.explode(F.array("lo", "hi")).alias("lo")).distinct()
-    cuts = points.withColumn("hi", F.lead("lo").over(Window.partitionBy(*group).orderBy("lo"))).where("hi is not null")
-    inside = lambda d, name: d.select(*group, F.col("lo").alias("__a"), F.col("hi").alias("__b"), F.col(key).alias(name))
-    for d, name in ((old, "old_key"), (new, "new_key")):
-        hit = cuts.select(*group, "lo", "hi").join(inside(d, name), group).where("__a <= lo and hi <= __b").groupBy(*group, "lo", "hi").agg(F.min(name).alias(name))
-        cuts = cuts.join(hit, [*group, "lo", "hi"], "left")
+    w = Window.partitionBy(*group).orderBy("lo")
+    cuts = points.withColumn("hi", F.lead("lo").over(w)).withColumn("__at", F.row_number().over(w))
+    place = lambda c, at: cuts.select(*group, F.col("lo").alias(c), F.col("__at").alias(at))
+    found = cuts.where("hi is not null")
+    for d, name in ((old, "old_key"), (new, "new_key")):  # an interval holds the cuts from the place of lo to that before hi
+        own = d.where("lo < hi").groupBy(*group, "lo", "hi").agg(F.min(key).alias(name)).join(place("lo", "__a"), [*group, "lo"]).join(place("hi", "__b"), [*group, "hi"])
+        hit = own.select(*group, name, F.explode(F.sequence("__a", F.col("__b") - 1)).alias("__at")).groupBy(*group, "__at").agg(F.min(name).alias(name))
+        found = found.join(hit, [*group, "__at"], "left")
+    cuts = found.drop("__at")
     kind = F.when(F.col("old_key").isNull(), "added").when(F.col("new_key").isNull(), "removed").when(F.col("old_key") == F.col("new_key"), "same").otherwise("changed")
     return cuts.where("old_key is not null or new_key is not null").withColumn("change", kind)
 

@@ -36,6 +36,15 @@ def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _checkpoints(spark: SparkSession) -> None:
+    """A folder for checkpoints where none is configured."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        import tempfile
+
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gridloom-"))
+
+
 def r(c, digits: int = 4):
     return F.round(c, digits)
 
@@ -508,6 +517,18 @@ def interval_sweep(spark, d):
     return J.interval_sweep(old, new, ["g"], "key")
 
 
+@query("""WITH o AS (SELECT c_nationkey AS g, floor(c_acctbal)::BIGINT AS lo, floor(c_acctbal)::BIGINT + 50 AS hi, c_mktsegment AS key FROM customer),
+n AS (SELECT g, lo + 10 AS lo, hi + 10 AS hi, key FROM o),
+p AS (SELECT g, lo AS x FROM o UNION SELECT g, hi FROM o UNION SELECT g, lo FROM n UNION SELECT g, hi FROM n), c AS (SELECT g, x AS lo, lead(x) OVER (PARTITION BY g ORDER BY x) AS hi FROM p),
+a AS (SELECT c.g, c.lo, c.hi, min(o.key) AS old_key FROM c JOIN o ON o.g = c.g AND o.lo <= c.lo AND c.hi <= o.hi GROUP BY ALL), b AS (SELECT c.g, c.lo, c.hi, min(n.key) AS new_key FROM c JOIN n ON n.g = c.g AND n.lo <= c.lo AND c.hi <= n.hi GROUP BY ALL)
+SELECT g, lo, hi, old_key, new_key, CASE WHEN old_key IS NULL THEN 'added' WHEN new_key IS NULL THEN 'removed' WHEN old_key = new_key THEN 'same' ELSE 'changed' END AS change FROM a FULL JOIN b USING (g, lo, hi)""")
+def interval_sweep_whole(spark, d):
+    """All customers: fifty units of balance by segment, before and after a rise of ten."""
+    lo = F.floor("c_acctbal")
+    old = t(spark, d, "customer").select(F.col("c_nationkey").alias("g"), lo.alias("lo"), (lo + 50).alias("hi"), F.col("c_mktsegment").alias("key"))
+    return J.interval_sweep(old, old.withColumns({"lo": F.col("lo") + 10, "hi": F.col("hi") + 10}), ["g"], "key").select("g", "lo", "hi", "old_key", "new_key", "change")
+
+
 @query("""WITH w AS (SELECT DISTINCT event_type, user_id, user_id - dense_rank() OVER (PARTITION BY event_type ORDER BY user_id) AS g FROM events) SELECT event_type, min(user_id) AS lo, max(user_id) AS hi, count(*) AS n FROM w GROUP BY event_type, g""")
 def islands_rects(spark, d):
     return W.islands(t(spark, d, "events"), ["event_type"], "user_id")
@@ -520,14 +541,27 @@ def rect_overlap_edges(spark, d):
     return J.overlap_edges(p.where("id % 20 = 0").withColumn("r2", F.col("r1") + 2), p.where("id % 20 = 1").withColumn("r2", F.col("r1")))
 
 
+@query("""WITH p AS (SELECT p_partkey AS id, p_type AS sheet, p_brand, p_size AS r1, floor(p_retailprice)::BIGINT AS c1 FROM part)
+SELECT DISTINCT w.id AS source, x.id AS target FROM p w JOIN p x ON w.sheet = x.sheet AND w.r1 <= x.r1 AND x.r1 <= w.r1 + 2 AND w.c1 <= x.c1 AND x.c1 <= w.c1 + 10 WHERE w.p_brand < 'Brand#3' AND x.p_brand >= 'Brand#3'""")
+def rect_overlap_edges_whole(spark, d):
+    """All parts: writers and readers by brand, in rectangles of size and price."""
+    p = t(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("sheet"), "p_brand", F.col("p_size").alias("r1"), F.floor("p_retailprice").alias("c1"))
+    writers = p.where("p_brand < 'Brand#3'").withColumns({"r2": F.col("r1") + 2, "c2": F.col("c1") + 10})
+    return J.overlap_edges(writers, p.where("p_brand >= 'Brand#3'").withColumns({"r2": F.col("r1"), "c2": F.col("c1")}))
+
+
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey % 200 AS source, (l_suppkey * 7 + l_linenumber) % 200 AS target FROM lineitem WHERE l_orderkey < 400), n AS (SELECT 1::BIGINT AS node UNION SELECT target FROM e JOIN n ON e.source = n.node) SELECT node FROM n""")
 def reachability(spark, d):
     e = t(spark, d, "lineitem").where("l_orderkey < 400").select((F.col("l_suppkey") % 200).alias("source"), ((F.col("l_suppkey") * 7 + F.col("l_linenumber")) % 200).alias("target")).distinct()
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
+    _checkpoints(spark)
+    return J.reachable(e, spark.createDataFrame([(1,)], "node long"))
 
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gridloom-"))
+
+@query("""WITH RECURSIVE n AS (SELECT 1::BIGINT AS node UNION SELECT l_partkey FROM lineitem JOIN n ON l_orderkey = node) SELECT node FROM n""")
+def reachability_whole(spark, d):
+    """All line items: an order leads to its parts, and a part to the order of its number."""
+    _checkpoints(spark)
+    e = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("source"), F.col("l_partkey").alias("target"))
     return J.reachable(e, spark.createDataFrame([(1,)], "node long"))
 
 
