@@ -68,11 +68,15 @@ def key_order(c: Column) -> list[Column]:
     return [kind.asc(), n.asc_nulls_last(), F.lower(c).asc()]
 
 
+#: Keys of a cross-tab's column field, at most.
+WIDEST = 1000
+
+
 def pivot_table(df: DataFrame, rows: list[str], values: list[tuple[str, str, str]], column: str | None = None, filters: dict[str, list[str]] | None = None, subtotals: bool = True) -> DataFrame:
     """Groups, cross-tabs, subtotals and the grand total in one pass.
 
     ``values``: (aggregation, field, output name). With ``column``, each value has a column per key of it, named <key>_<name>, and <name> for the
-    whole row. ``level`` counts the row fields that are summed over: 0 is a group, len(rows) the grand total. Subtotals and totals are
+    whole row; more than ``WIDEST`` keys are refused. ``level`` counts the row fields that are summed over: 0 is a group, len(rows) the grand total. Subtotals and totals are
     recomputed from members.
     """
     for field, chosen in (filters or {}).items():
@@ -82,7 +86,9 @@ def pivot_table(df: DataFrame, rows: list[str], values: list[tuple[str, str, str
         df = df.withColumn(r, display(F.col(r)))
     aggs = [PIVOT[a](F.col(f)).alias(n) for a, f, n in values]
     if column:
-        keys = [r[0] for r in df.select(display(F.col(column)).alias("k")).distinct().orderBy(*key_order(F.col("k"))).limit(1000).collect()]
+        keys = [r[0] for r in df.select(display(F.col(column)).alias("k")).distinct().orderBy(*key_order(F.col("k"))).limit(WIDEST + 1).collect()]
+        if len(keys) > WIDEST:
+            raise ValueError(f"{column} has more than {WIDEST} keys, too many for a column each; make it a row field")
         shown = display(F.col(column))
         aggs += [PIVOT[a](F.when(shown == k, F.col(f))).alias(f"{k}_{n}") for k in keys for a, f, n in values]
     if not subtotals:

@@ -291,3 +291,10 @@ def test_interval_sweep_brute(spark):
                 want.add((g, lo, hi, a, b, "added" if not a else "removed" if not b else "same" if a == b else "changed"))
     frame = lambda rows: spark.createDataFrame(rows, "g string, lo long, hi long, key string")
     assert {tuple(r) for r in J.interval_sweep(frame(old), frame(new), ["g"], "key").collect()} == want
+
+
+def test_crosstab_refuses_what_it_cannot_show(spark):
+    df = spark.range(1001).selectExpr("'g' as g", "id as k", "1 as v")
+    with pytest.raises(ValueError, match="more than 1000 keys"):
+        A.pivot_table(df, ["g"], [("sum", "v", "v")], "k")
+    assert len(A.pivot_table(df.where("k < 3"), ["g"], [("sum", "v", "v")], "k", subtotals=False).columns) == 6
