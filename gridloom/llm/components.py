@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,12 +26,15 @@ def _star(edges: DataFrame, small: bool, tasks: int) -> DataFrame:
     return out.where("u <> v").distinct()
 
 
-def connected_components(edges: DataFrame, most: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, most: int | None = None) -> DataFrame:
     """(node, component: the least node reachable) of every node of ``edges`` (u, v: long). Rounds end when nothing changes; their number grows
-    with the logarithm of the longest chain. Self-loops and repeated edges are allowed; no edges give an empty result. Nothing but two sums gets to the driver."""
+    with the logarithm of the longest chain. Self-loops and repeated edges are allowed; no edges give an empty result. Nothing but two sums gets to the driver.
+    With ``most``, an error if so many rounds don't end it."""
     now = materialise(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
     tasks, mark = 1 + now.count() // EDGES_A_TASK, None  # a step has no more edges than nodes and edges at first
-    for _ in range(most):
+    for k in count():
+        if k == most:
+            raise RuntimeError(f"components are not settled after {most} rounds")
         large = materialise(_star(now, False, tasks).coalesce(tasks), "large")
         now = materialise(_star(large, True, tasks).coalesce(tasks), "small")
         row = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v") % 1000003).alias("s")).first()

@@ -114,15 +114,18 @@ def keyed_diff(old: DataFrame, new: DataFrame, keys: list[str], value: str) -> D
     return a.join(b, keys, "full_outer").withColumn("change", kind).where("change is not null").drop("__o", "__n")
 
 
-def reachable(edges: DataFrame, start: DataFrame, most: int = 200) -> DataFrame:
-    """Nodes reachable from ``start`` (node), start included. edges: source, target. Breadth-first rounds over DataFrames; each is checkpointed, the driver sees counts only."""
+def reachable(edges: DataFrame, start: DataFrame, most: int | None = None) -> DataFrame:
+    """Nodes reachable from ``start`` (node), start included. edges: source, target. Breadth-first rounds over DataFrames until nothing is new; each is checkpointed, the
+    driver sees counts only. With ``most``, an error if so many rounds don't end it."""
     seen = frontier = start.select("node").distinct().checkpoint()
-    for _ in range(most):
+    rounds = 0
+    while most is None or rounds < most:
         frontier = edges.join(frontier, edges["source"] == frontier["node"]).select(F.col("target").alias("node")).distinct().join(seen, "node", "left_anti").checkpoint()
         if frontier.isEmpty():
             return seen
         seen = seen.unionByName(frontier).checkpoint()
-    return seen
+        rounds += 1
+    raise RuntimeError(f"nodes are further from the start than {most} edges")
 
 
 def jaccard_matches(left: DataFrame, right: DataFrame, group: str, item: str, least: float = 0.6) -> DataFrame:

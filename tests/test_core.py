@@ -298,3 +298,20 @@ def test_crosstab_refuses_what_it_cannot_show(spark):
     with pytest.raises(ValueError, match="more than 1000 keys"):
         A.pivot_table(df, ["g"], [("sum", "v", "v")], "k")
     assert len(A.pivot_table(df.where("k < 3"), ["g"], [("sum", "v", "v")], "k", subtotals=False).columns) == 6
+
+
+def test_rounds_never_end_silently(spark):
+    from gridloom.llm.components import connected_components
+    from gridloom.operators import joins as J
+    from gridloom.queries import _checkpoints
+
+    _checkpoints(spark)
+    chain = spark.range(9).selectExpr("id as source", "id + 1 as target")
+    start = spark.createDataFrame([(0,)], "node long")
+    with pytest.raises(RuntimeError):
+        J.reachable(chain, start, most=3)
+    assert J.reachable(chain, start).count() == 10
+    edges = chain.selectExpr("source as u", "target as v")
+    with pytest.raises(RuntimeError):
+        connected_components(edges, most=1)
+    assert connected_components(edges).where("component = 0").count() == 10
