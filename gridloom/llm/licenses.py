@@ -1,16 +1,16 @@
 """License scans by a positional index of rare words, in DataFrame operations only.
 
 Templates are short licence notices. Their words are indexed by position, each with its inverse document frequency over all
-documents. A document looks up its licence words of highest IDF; postings are intersected by relative position (document position less template
-position), so words vote for a template only where they stand as in the template. A template counts where enough of its words agree on
-one place and its mandatory key phrase stands there whole. Base phrases are found separately, at every place.
+documents. A template's own words of highest IDF, the rarest of its key phrase among them, make candidate places; postings are intersected by relative
+position (document position less template position), so words vote for a template only where they stand as in the template. A template counts at a
+candidate place where enough of all its words agree and its mandatory key phrase stands whole. Base phrases are found separately, at every place.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .exact_dedup import fold_ascii
@@ -61,7 +61,7 @@ def _stands(words: Column, i: Column, phrase: str) -> Column:
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text: str = "text", rare: int = 8, agree: float = 0.6) -> DataFrame:
     """op10's rows: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    ``rare``: licence words of highest IDF that a document looks up; ``agree``: share of these a template needs at one place. score: 1 with a base
+    ``rare``: words of highest IDF by which a template is looked up; ``agree``: share of all its words that it needs at one place. score: 1 with a base
     phrase, else the best verified template's share, else 0. Null or empty texts have no words and score 0. Rows that repeat an id are
     scanned as rows of their own. Other columns are ignored.
     """
@@ -82,16 +82,17 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text: str = "text", r
     n = F.lit(float(scanned.count()))
     seen = scanned.where(F.size("hits") > 0)
     df = seen.select(F.explode(F.array_distinct(F.transform("hits", lambda x: x["word"]))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.broadcast(materialise(df.select("word", F.log((n + 1) / (F.col("df") + 1)).alias("idf")), "licence-idf"))  # at most one row for each licence word
+    idf = df.select("word", F.log((n + 1) / (F.col("df") + 1)).alias("idf"))
+    order = lambda *by: Window.partitionBy("template", *by).orderBy(F.col("idf").desc(), "word", "at")
+    anchor = (F.row_number().over(order()) <= rare) | (F.col("is_key") & (F.row_number().over(order("is_key")) == 1))
+    index = materialise(index.join(idf, "word").withColumn("anchor", anchor).drop("idf"), "licence-idf")  # at most one row for each place of a template
     each = seen.select("row", F.explode("hits").alias("hit")).select("row", "hit.word", F.col("hit.at").alias("doc_at"))
-    by_word = each.select("row", "word").distinct().join(idf, "word")
-    ranked = by_word.groupBy("row").agg(F.slice(F.sort_array(F.collect_list(F.struct("idf", "word")), asc=False), 1, rare).alias("top")).select("row", F.transform("top", lambda x: x["word"]).alias("top"))
     votes = (
-        each.join(F.broadcast(index), "word").join(ranked, "row").withColumn("offset", F.col("doc_at") - F.col("at"))
+        each.join(F.broadcast(index), "word").withColumn("offset", F.col("doc_at") - F.col("at"))
         .groupBy("row", "template", "label", "offset", "key_words", "words")
-        .agg(F.sum(F.array_contains("top", F.col("word")).cast("int")).alias("agreeing"), F.sum(F.col("is_key").cast("int")).alias("key_found"))
-        .withColumn("share", F.col("agreeing") / F.least("words", F.lit(rare)))
-        .where((F.col("key_found") == F.col("key_words")) & (F.col("share") >= agree))
+        .agg(F.count(F.lit(1)).alias("agreeing"), F.sum(F.col("is_key").cast("int")).alias("key_found"), F.bool_or("anchor").alias("candidate"))
+        .withColumn("share", F.col("agreeing") / F.col("words"))
+        .where(F.col("candidate") & (F.col("key_found") == F.col("key_words")) & (F.col("share") >= agree))
         .groupBy("row").agg(F.collect_set("label").alias("found"), F.max("share").alias("share"))
     )
     at = F.flatten(F.transform("base", lambda x: x["at"]))

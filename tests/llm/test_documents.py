@@ -304,6 +304,20 @@ def test_licenses(docs, rows, nothing, odd):
     assert licenses.scan_licenses(nothing).count() == 0 and licenses.scan_licenses(odd).count() == 6
 
 
+def test_licenses_side_by_side(spark):
+    """Several notices in one text are all found, whichever has the rarer words."""
+    by_name = {}
+    for label, notice, _ in licenses.TEMPLATES:
+        by_name.setdefault(label, notice)
+    texts = [by_name["mit"] + " beside " + by_name["apache-2.0"], "Released under the MIT License | " + by_name["apache-2.0"] + " | " + by_name["gpl-3.0"], " beside ".join(by_name.values())]
+    common = [by_name["apache-2.0"]] * 20 + [by_name["gpl-3.0"]] * 20 + ["nothing of that kind"] * 20
+    got = by_id(licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts + common)), "doc_id long, text string")))
+    assert {"mit", "apache-2.0"} <= set(got[0]["labels"].split(",")) and got[0]["score"] == 1
+    assert {"mit", "apache-2.0", "gpl-3.0"} <= set(got[1]["labels"].split(","))
+    assert set(by_name) <= set(got[2]["labels"].split(","))
+    assert got[3]["labels"] == "apache-2.0" and got[len(texts) + 40]["score"] == 0
+
+
 def test_quality(spark, nothing, odd, docs):
     d = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{d}/labels.parquet")
