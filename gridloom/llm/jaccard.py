@@ -186,9 +186,9 @@ def _long_pairs(members: DataFrame, percent: int, nearest: bool) -> DataFrame:
     return dealt.groupBy("gram", "i", "j").applyInPandas(run, "x long, y long, gap int")
 
 
-def similar_sets(docs: DataFrame, n: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame]:
+def similar_sets(docs: DataFrame, n: int = 4, percent: int = 85, every: bool = False) -> tuple[DataFrame, DataFrame]:
     """(summary of each row, links). ``docs``: doc (long), text. Summary: row, doc, n, d1, d2 and node, the row that stands for its set. Links: distinct pairs u > v of nodes
-    whose sets have ``percent`` of their union in common, enough of them to hold every component together."""
+    whose sets have ``percent`` of their union in common: with ``every`` all of them, else enough to hold every component together."""
     spark = docs.sparkSession
     raw = materialise(_summary(docs, n), "sets")
     rows = raw.where("row is not null").drop("gram", "count")
@@ -211,8 +211,11 @@ def similar_sets(docs: DataFrame, n: int = 4, percent: int = 85) -> tuple[DataFr
     long = index.where(F.col("size") > LONG)
     grams = materialise(long.groupBy("d1").agg(F.collect_list("gram").alias("grams")).join(side, "d1"), "long-sets")
     members = long.select("gram", "size", "d1").join(grams, "d1").drop("d1")
-    near = materialise(near.unionByName(_long_pairs(members.withColumn("component", F.col("row")), percent, True)), "near")
+    near = materialise(near.unionByName(_long_pairs(members.withColumn("component", F.col("row")), percent, not every)), "near")
     release(spark)
+    summary = rows.drop("bits").join(nodes.select("d1", "d2", F.col("row").alias("node")), ["d1", "d2"], "left")
+    if every:
+        return summary, _verify(docs, nodes, near.select("x", "y"), n, percent)
     # each set beside the nearest one; then only what lies between components
     ends = near.select("x", "y", "gap").unionByName(near.select(F.col("y").alias("x"), F.col("x").alias("y"), "gap"))
     best = materialise(ends.groupBy("x").agg(F.min_by("y", F.struct("gap", "y")).alias("y")), "nearest")
@@ -228,7 +231,7 @@ def similar_sets(docs: DataFrame, n: int = 4, percent: int = 85) -> tuple[DataFr
     release(spark)
     if not apart.isEmpty():
         links = materialise(links.unionByName(_verify(docs, nodes, apart, n, percent)).distinct(), "links")
-    return rows.drop("bits").join(nodes.select("d1", "d2", F.col("row").alias("node")), ["d1", "d2"], "left"), links
+    return summary, links
 
 
 def _verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -279,6 +282,21 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: s
     return placed.join(names, "component", "left").select(real.alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", real).alias("component_id"))
 
 
+def jaccard_links(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, n_links, one for each row of ``docs``: how many other rows it links with, as in ``jaccard_components``, those of equal sets among them.
+    Every pair that the index and the bitmaps allow is compared, inside components too, so the work grows with the number of links."""
+    named = docs.select(F.col(id_col).cast("long").alias("real"), F.monotonically_increasing_id().alias("doc"), F.col(text).cast("string").alias("text"))
+    named = materialise(named, "numbered")
+    rows, links = similar_sets(named.select("doc", "text"), n, percent, every=True)
+    rows = materialise(rows, "rows-of-sets")
+    copies = rows.where("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("copies"))
+    ends = links.select(F.col("u").alias("node"), F.col("v").alias("other")).unionByName(links.select(F.col("v").alias("node"), F.col("u").alias("other")))
+    others = ends.join(copies.select(F.col("node").alias("other"), "copies"), "other").groupBy("node").agg(F.sum("copies").alias("others"))
+    counts = copies.join(others, "node", "left").select("node", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    counted = rows.join(counts, "node", "left").select("doc", F.col("n").cast("long").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return named.select("doc", F.col("real").alias("doc_id")).join(counted, "doc").drop("doc")
+
+
 def keep_one_of_each(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     """Rows of ``docs`` of which each component keeps the document with the smallest id; the others go, by their ids. Rows without an id stay."""
     gone = jaccard_components(docs, n, percent).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()

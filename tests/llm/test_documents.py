@@ -270,6 +270,22 @@ def test_jaccard_long_lists(spark, monkeypatch):
     assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == brute_components(rows)
 
 
+def test_jaccard_links(spark, monkeypatch):
+    """Every link is counted, inside components too: short and long lists, near copies, copies, texts without words."""
+    monkeypatch.setattr(jaccard, "LONG", 4)
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(90)]
+    body = [rng.choice(words) for _ in range(120)]
+    texts = [" ".join(w if k != at else f"new{i}" for k, w in enumerate(body)) for i, at in enumerate(rng.choices(range(120), k=40))]
+    texts += texts[:3] + ["", None, "one two"] + [" ".join(rng.choices(words, k=60)) for _ in range(10)]
+    grams = [{tuple(w[k : k + 4]) for k in range(max(len(w) - 3, 1))} if w else set() for w in ((t or "").split() for t in texts)]
+    want = [sum(i != j and bool(a) and 100 * len(a & b) >= 85 * len(a | b) for j, b in enumerate(grams)) for i, a in enumerate(grams)]
+    got = by_id(jaccard.jaccard_links(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert [got[i]["n_links"] for i in range(len(texts))] == want and max(want) > 30
+    assert [got[i]["n_shingles"] for i in range(len(texts))] == [len(g) for g in grams]
+
+
 def test_exact(docs, rows, nothing, odd):
     got = by_id(exact_dedup.exact_duplicates(docs))
     groups = collections.defaultdict(list)
