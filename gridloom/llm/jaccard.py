@@ -1,13 +1,13 @@
 """N-gram Jaccard join: documents whose sets of word n-grams overlap by at least a threshold, and their components.
 
 Sets that are equal are one set from the start, so copies cost nothing. A set's prefix (the part that a similar set must share something of) is taken in one
-global order: n-grams of few documents first. Index lists are the sets of one prefix n-gram, split into blocks by position so that the
+global order: n-grams of few documents first. Index lists are the sets of one prefix n-gram, split into blocks by a hash so that the
 pairs of blocks of a long list are tasks of their own. Sets carry a bitmap of 1024 parities; two bitmaps that differ in more places than the threshold lets two sets of these sizes
-differ rule a pair out, without the sets. So a block is skipped or cut down before any set is read.
+differ rule a pair out, without the sets. So the pairs of a block are cut down before any set is read; no block is skipped.
 
-Relations between sets save the rest. Each set is first checked against the one nearest to it only, by bitmaps. What that links has its answers
-derived from each other: in a second step, pairs inside one component are skipped, and only pairs between components are checked.
-Every link between different components is thus found, and links inside are counted where they were checked. The check itself compares whole sets.
+Relations between sets save the rest. Each set is first checked against the one nearest to it only, by bitmaps. In a second step, pairs inside
+one component are skipped, and only pairs between components are checked. Every link between different components is thus found; those inside
+are all found only by ``jaccard_links``. The check itself compares whole sets.
 """
 
 from __future__ import annotations
