@@ -3,7 +3,7 @@
 Documents are dealt into ``2**levels`` runs. Within each, rows are reduced to one per digest. Then runs are merged in rounds, as in a
 binomial tree: in round k, groups of runs whose numbers agree but for their lowest bits exchange their digests and merge, keeping the
 identifier that stays and the number of copies; the last round leaves one run of all digests. Every merge reduces before its shuffle, so a digest
-that a third of all rows share moves as one row from each task. What moves is digests, never texts.
+that a third of all rows share moves as one row from each task. Merges are hash aggregations by digest, in place of sorted runs and a multiway merge by order. What moves is digests, never texts.
 
 A digest is verified at every level: rows merge only if SHA-256, a second hash of other construction and the text's length all agree.
 """
