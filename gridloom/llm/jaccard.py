@@ -1,13 +1,16 @@
-"""N-gram Jaccard join: documents whose sets of word n-grams overlap by at least a threshold, and their components.
+"""N-gram Jaccard join: documents whose sets of word n-grams overlap by at least a threshold, their components and numbers of links.
 
-Sets that are equal are one set from the start, so copies cost nothing. A set's prefix (the part that a similar set must share something of) is taken in one
-global order: n-grams of few documents first. Index lists are the sets of one prefix n-gram, split into blocks by a hash so that the
-pairs of blocks of a long list are tasks of their own. Sets carry a bitmap of 1024 parities; two bitmaps that differ in more places than the threshold lets two sets of these sizes
-differ rule a pair out, without the sets. So the pairs of a block are cut down before any set is read; no block is skipped.
+Sets that are equal are one set from the start, so copies cost nothing. Two kinds of relations between sets then save work.
 
-Relations between sets save the rest. Each set is first checked against the one nearest to it only, by bitmaps. In a second step, pairs inside
-one component are skipped, and only pairs between components are checked. Every link between different components is thus found; those inside
-are all found only by ``jaccard_links``. The check itself compares whole sets.
+*Lists skipped by position.* A set's prefix (the part that a similar set must share something of) is taken in one global order: n-grams of few documents
+first. An index list has the sets of one prefix n-gram with their sizes and the n-gram's positions in them, ordered by position, in blocks of ``BLOCK``
+rows. What two sets can share at most follows from sizes and positions, so a whole block is skipped where its ranges of sizes and positions leave too little. A pair
+goes on if it shares as many n-grams of the two prefixes as a pair of these sizes must; only such pairs are compared.
+
+*Answers derived from a similar set.* Sets that meet in a list of more than ``LONG`` rows form a group (near copies, mostly). A group gets a reference set: the
+n-grams that most of a sample of its sets have. Each set is compared with the reference once, and is known by its difference from there on: two sets of differences
+D and E differ in ``|D| + |E| - 2 |D and E|`` n-grams. So the set nearest to the reference links to all whose differences are small enough without any
+comparison, and the others' links follow from the n-grams that their differences have in common. The reference decides how much that costs, never the result.
 """
 
 from __future__ import annotations
@@ -16,24 +19,33 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .runtime import blocks, discard, materialise, release, text_buffer
+from .runtime import blocks, discard, materialise, ragged, text_buffer
 from .segments import BLANKS, LOWER, Prefix, hash_segments, mix, word_ranges
 
-BITS = 1024
-#: Lists of more sets than this are long.
+#: Lists of more sets than this are long: their sets form groups.
 LONG = 32
-#: Sets in a block of a long list.
-BLOCK = 1024
-#: N-grams in more than this share of the documents come last in the order. At most (mean set size / share) n-grams can be.
-FREQUENT = 0.002
+#: Rows of a list that are skipped together.
+BLOCK = 8
+#: Sets of a group that are compared in one task with as many others.
+TASK = 2048
+#: Sets of a group that make its reference.
+SAMPLE = 64
+#: So many n-grams of most documents are ordered by their counts; the others come before them, by hash. It bounds the broadcast; the order decides cost only.
+FREQUENT = 200_000
+#: Rows of one n-gram that one task gathers when lists are made; more are dealt to several.
+GATHER = 50_000
+#: Words of 64 bits in the filter of documents whose sets are needed again.
+FILTER = 1 << 18
+#: Text that is held at once.
+HELD = 2 << 20
 
 
 def sets(column, n: int):
-    """(the sorted distinct hashes of each text's n-grams, end of each set). Texts of fewer words are one n-gram; without words, empty."""
+    """The sorted distinct hashes of each text's n-grams. Texts of fewer words are one n-gram; without words, empty."""
     data, offsets = text_buffer(column)
     data = LOWER[data]
     starts, ends, first = word_ranges(data, offsets, BLANKS)
@@ -55,215 +67,307 @@ def digests(each: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return mix(one), mix(two + np.uint64(1))
 
 
-def bitmap(s: np.ndarray) -> np.ndarray:
-    """Parities of how many of the set fall on each of 1024 places, as 16 integers."""
-    parity = np.bincount((s & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
-    return np.packbits(parity.astype(np.uint8), bitorder="little").view(np.int64)
+def _up(a, b):
+    """a / b, rounded up."""
+    return -(-a // b)
+
+
+def least_shared(a, b, percent: int):
+    """N-grams that two sets of these sizes must share to be linked."""
+    return _up(percent * (a + b), 100 + percent)
 
 
-def wide_bitmap(s: np.ndarray) -> np.ndarray:
-    """The same with at least four places for each member (a power of two): its differences are nearly those of the sets."""
-    bits = max(BITS, 1 << (4 * len(s) - 1).bit_length())
-    parity = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
-    return np.packbits(parity.astype(np.uint8), bitorder="little").view(np.int64)
+def least_in_prefixes(small, large, percent: int):
+    """How many of them lie in both prefixes at least: no set has more than ``percent`` of its size, rounded up and less one, behind its prefix."""
+    return least_shared(small, large, percent) - _up(percent * large, 100) + 1
 
 
 def _summary(docs: DataFrame, n: int) -> DataFrame:
-    """A row of each document (its set's size, digests, bitmap), and rows (n-gram, count) of n-grams that are frequent in their block."""
-    fields = pa.schema([("row", pa.int64()), ("doc", pa.int64()), ("n", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64()), ("bits", pa.list_(pa.int64())), ("gram", pa.int64()), ("count", pa.int64())])
+    """A row of each document (its set's size and digests), and rows (n-gram, count) of n-grams that occur in several documents near each other."""
+    fields = pa.schema([("row", pa.int64()), ("doc", pa.int64()), ("n", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64()), ("mark", pa.int64()), ("gram", pa.int64()), ("count", pa.int64())])
 
     def run(batches):
         row = TaskContext.get().partitionId() << 40
-        for batch in blocks(batches, "text"):
+        held, size = [], 0
+
+        def counted():
+            gram, count = np.unique(np.concatenate(held), return_counts=True)
+            many = count > 2
+            k = int(many.sum())
+            return pa.RecordBatch.from_arrays([*(pa.nulls(k, f.type) for f in list(fields)[:6]), pa.array(gram[many].view(np.int64)), pa.array(count[many])], schema=fields)
+
+        for batch in blocks(batches, "text", HELD):
             each = sets(batch.column("text"), n)
             one, two = digests(each)
             k = len(each)
-            bits = pa.array([bitmap(s) for s in each], pa.list_(pa.int64()))
-            empty = lambda t: pa.nulls(k, t)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + k)), batch.column("doc"), pa.array([len(s) for s in each], pa.int32()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), bits, empty(pa.int64()), empty(pa.int64())], schema=fields)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + k)), batch.column("doc"), pa.array([len(s) for s in each], pa.int32()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), batch.column("mark"), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], schema=fields)
             row += k
-            gram, count = np.unique(np.concatenate(each), return_counts=True)
-            many = count > max(2, FREQUENT * k)
-            m = int(many.sum())
-            yield pa.RecordBatch.from_arrays([*(pa.nulls(m, f.type) for f in list(fields)[:6]), pa.array(gram[many].view(np.int64)), pa.array(count[many])], schema=fields)
+            held.append(np.concatenate(each))
+            size += len(held[-1])
+            if size > 2_000_000:
+                yield counted()
+                held, size = [], 0
+        if held:
+            yield counted()
 
-    return docs.mapInArrow(run, "row long, doc long, n int, d1 long, d2 long, bits array<bigint>, gram long, count long")
+    return docs.mapInArrow(run, "row long, doc long, n int, d1 long, d2 long, mark long, gram long, count long")
 
 
-def _prefixes(docs: DataFrame, n: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """(gram, d1, n) of each document's prefix."""
-    sent = docs.sparkSession.sparkContext.broadcast(np.sort(frequent))
-    fields = pa.schema([("gram", pa.int64()), ("d1", pa.int64()), ("n", pa.int32())])
+def _prefixes(docs: DataFrame, n: int, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(gram, salt, d1, d2, n, at) of each prefix: ``at`` is the n-gram's place in its set, ``salt`` deals the n-grams of very many documents."""
+    order = np.argsort(frequent[0])
+    sent = docs.sparkSession.sparkContext.broadcast((frequent[0][order], frequent[1][order]))  # FREQUENT entries at most
+    fields = pa.schema([("gram", pa.int64()), ("salt", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64()), ("n", pa.int32()), ("at", pa.int32())])
 
     def run(batches):
-        late = sent.value
+        known, counts = sent.value
         seen: set[int] = set()
-        for batch in blocks(batches, "text"):
+        for batch in blocks(batches, "text", HELD):
             each = sets(batch.column("text"), n)
-            one, _ = digests(each)
+            one, two = digests(each)
             out = []
-            for name, s in zip(one.tolist(), each):
-                if not len(s) or name in seen:
+            for i, s in enumerate(each):
+                if not len(s) or int(one[i]) in seen:
                     continue
-                seen.add(name)
-                length = len(s) - -(-percent * len(s) // 100) + 1
-                if len(late):
-                    at = np.minimum(np.searchsorted(late, s), len(late) - 1)
-                    common = late[at] == s
-                    s = np.concatenate([s[~common], s[common]]) if common.any() else s
-                out.append((s[:length], name, len(s)))
+                seen.add(int(one[i]))
+                length = len(s) - _up(percent * len(s), 100) + 1
+                salt = np.zeros(length, np.int32)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                    count = np.where(known[at] == s, counts[at], 0)
+                    pick = np.argsort(count, kind="stable")[:length]
+                    s, count = s[pick], count[pick]
+                    tasks = _up(count, GATHER).astype(np.uint64)
+                    salt[count > GATHER] = (one[i] % tasks[count > GATHER]).astype(np.int32) + 1
+                out.append((s[:length], salt, i, len(s)))
             if len(seen) > 500_000:
                 seen.clear()
             if out:
                 lengths = np.array([len(x[0]) for x in out])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[0] for x in out]).view(np.int64)), pa.array(np.repeat(np.array([x[1] for x in out], np.uint64).view(np.int64), lengths)), pa.array(np.repeat(np.array([x[2] for x in out], np.int32), lengths))], schema=fields)
-
-    return docs.mapInArrow(run, "gram long, d1 long, n int")
-
-
-def _may_differ(a: Column, b: Column, percent: int) -> Column:
-    """The most in which two sets of these sizes may differ: (100 - p) / (100 + p) of their sum."""
-    return (a + b) * (100 - percent) / (100 + percent)
-
-
-def _differences(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-
-
-def block_pairs(own: pd.DataFrame, gram: int, same: bool, percent: int, nearest: bool) -> pd.DataFrame:
-    """Pairs of one block, or of two (``same`` is False: between ``part`` 0 and 1), that sizes and bitmaps allow, that share no earlier long
-    list, and that don't have one component. ``nearest``: only the best partner of each set."""
-    none = pd.DataFrame({"x": np.zeros(0, np.int64), "y": np.zeros(0, np.int64), "gap": np.zeros(0, np.int32)})
-    if len(own) < 2:
-        return none
-    own = own.sort_values("row")
-    size, rows, comp = own["n"].to_numpy(np.int64), own["row"].to_numpy(np.int64), own["component"].to_numpy(np.int64)
-    bits = np.array(own["bits"].tolist(), np.int64).view(np.uint64)
-    grams = [np.asarray(x, np.int64) for x in own["grams"]]
-    before = [x[x < gram] for x in grams]
-    columns = {g: i for i, g in enumerate(np.unique(np.concatenate(before)))} if any(map(len, before)) else {}
-    table = np.zeros((len(own), max(1, len(columns))), np.float32)
-    for i, x in enumerate(before):
-        table[i, [columns[g] for g in x]] = 1
-    part = own["part"].to_numpy()
-    left = np.arange(len(own)) if same else np.flatnonzero(part == 0)
-    right = left if same else np.flatnonzero(part == 1)
-    xs, ys, ds = [], [], []
-    for i in left:
-        to = right[right > i] if same else right
-        if not len(to):
-            continue
-        a, b = np.minimum(size[i], size[to]), np.maximum(size[i], size[to])
-        ok = (100 * a >= percent * b) & (comp[i] != comp[to])
-        ok[ok] = table[to[ok]] @ table[i] == 0
-        to = to[ok]
-        d = np.bitwise_count(bits[to] ^ bits[i]).sum(1)
-        ok = (100 + percent) * d.astype(np.int64) <= (100 - percent) * (size[to] + size[i])
-        xs.append(np.full(int(ok.sum()), i))
-        ys.append(to[ok])
-        ds.append(d[ok])
-    if not xs:
-        return none
-    x, y, d = (np.concatenate(v) for v in (xs, ys, ds))
-    if nearest and len(x):
-        order = np.argsort(d, kind="stable")
-        _, first = np.unique(np.stack([x[order], y[order]], 1).ravel(), return_index=True)
-        pick = np.unique(order[first // 2])
-        x, y, d = x[pick], y[pick], d[pick]
-    return pd.DataFrame({"x": rows[x], "y": rows[y], "gap": d.astype(np.int32)})
-
-
-def _long_pairs(members: DataFrame, percent: int, nearest: bool) -> DataFrame:
-    """``members``: gram, size (of the list), row, n, bits, grams, component. Long lists' blocks and pairs of blocks are groups of their own."""
-    blocks_of = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")
-    dealt = members.withColumn("blocks", blocks_of).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("gram", "row", "n", "bits", "grams", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("part"))
-
-    def run(key, own):
-        return block_pairs(own, int(key[0]), key[1] == key[2], percent, nearest)
-
-    return dealt.groupBy("gram", "i", "j").applyInPandas(run, "x long, y long, gap int")
+                who, size = np.repeat([x[2] for x in out], lengths), np.array([len(each[x[2]]) for x in out], np.int32)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.concatenate([x[0] for x in out]).view(np.int64)), pa.array(np.concatenate([x[1] for x in out])), pa.array(one[who].view(np.int64)), pa.array(two[who].view(np.int64)),
+                    pa.array(np.repeat(size, lengths)), pa.array(ragged(np.zeros(len(out), np.int64), lengths).astype(np.int32))], schema=fields)
+
+    return docs.mapInArrow(run, "gram long, salt int, d1 long, d2 long, n int, at int")
+
+
+def list_pairs(gram: np.ndarray, row: np.ndarray, n: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs (i, j) of rows of one list that sizes and positions allow. Rows are ordered by list, then position. Each row meets the blocks that
+    begin behind it in its list; a block goes on only where its ranges of sizes and positions can hold a partner."""
+    k = len(gram)
+    none = np.zeros(0, np.int64)
+    if k < 2:
+        return none, none
+    begins = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
+    length = np.diff(np.append(begins, k))
+    first = np.concatenate([ragged(np.zeros(len(length), np.int64), _up(length, BLOCK)) * BLOCK + np.repeat(begins, _up(length, BLOCK))])
+    end = np.minimum(first + BLOCK, np.repeat(begins + length, _up(length, BLOCK)))
+    low, high = np.minimum.reduceat(n, first), np.maximum.reduceat(n, first)
+    near, far = at[first], at[end - 1]
+    before = np.append(0, np.cumsum(_up(length, BLOCK)))[:-1]  # the first block of each list
+    of = np.repeat(np.arange(len(begins)), length)
+    own = before[of] + (np.arange(k) - begins[of]) // BLOCK
+    last = (before + _up(length, BLOCK))[of]
+    i = np.repeat(np.arange(k), last - own)
+    b = ragged(own, last - own)
+    partner = np.maximum(low[b], _up(percent * n[i], 100))
+    most = np.minimum(at[i], far[b]) + 1 + np.minimum(n[i] - at[i] - 1, high[b] - near[b] - 1)
+    ok = (100 * high[b] >= percent * n[i]) & (100 * n[i] >= percent * low[b]) & (most >= least_shared(n[i], partner, percent))
+    i, b = i[ok], b[ok]
+    width = end[b] - first[b]
+    i, j = np.repeat(i, width), ragged(first[b], width)
+    small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+    most = np.minimum(at[i], at[j]) + 1 + np.minimum(n[i] - at[i], n[j] - at[j]) - 1
+    ok = (j > i) & (row[i] != row[j]) & (100 * small >= percent * large) & (most >= least_shared(small, large, percent))
+    return i[ok], j[ok]
+
+
+def _short_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """``lists``: gram, row, n, at. Pairs (x > y, with nx and ny) that share enough of their prefixes."""
+    fields = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("nx", pa.int32()), ("ny", pa.int32())])
+
+    def run(batches):
+        rest = None
+        columns = ("gram", "row", "n", "at")
+
+        def pairs(part):
+            gram, row, n, at = part
+            i, j = list_pairs(gram, row, n.astype(np.int64), at.astype(np.int64), percent)
+            i, j = np.where(row[i] > row[j], i, j), np.where(row[i] > row[j], j, i)
+            return pa.RecordBatch.from_arrays([pa.array(row[i]), pa.array(row[j]), pa.array(n[i]), pa.array(n[j])], schema=fields)
+
+        for batch in batches:
+            now = [batch.column(c).to_numpy(zero_copy_only=False) for c in columns]
+            if rest is not None:
+                now = [np.concatenate([a, b]) for a, b in zip(rest, now)]
+            if not len(now[0]):
+                continue
+            cut = int(np.searchsorted(now[0], now[0][-1]))  # the last list may go on
+            if cut:
+                yield pairs([c[:cut] for c in now])
+            rest = [c[cut:] for c in now]
+        if rest is not None:
+            yield pairs(rest)
+
+    found = lists.repartition("gram").sortWithinPartitions("gram", "at", "row").mapInArrow(run, "x long, y long, nx int, ny int")
+    small, large = F.least("nx", "ny"), F.greatest("nx", "ny")
+    up = lambda a, b: F.ceil(a / F.lit(float(b)))  # noqa: E731  exact: the operands are far below 2^53 and a quotient rounds to no whole number that it isn't
+    least = up(percent * (small + large), 100 + percent) - up(percent * large, 100) + 1
+    return found.groupBy("x", "y", "nx", "ny").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least)
+
+
+def _whole(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """(row, n, grams, grouped) of the sets ``wanted`` (row, doc, d1, d2, grouped), made again from the texts. A filter of fixed size keeps other documents from being moved."""
+    bit = F.xxhash64("doc")
+    place, mask = F.pmod(F.shiftright(bit, 6), F.lit(FILTER)).alias("place"), F.expr("shiftleft(1L, cast(xxhash64(doc) & 63 AS int))")
+    words = wanted.select(place, mask.alias("mask")).groupBy("place").agg(F.bit_or("mask").alias("word"))
+    likely = docs.withColumn("place", place).withColumn("mask", mask).join(F.broadcast(words), "place").where(F.col("word").bitwiseAND(F.col("mask")) != 0).select("doc", "text")
+    fields = pa.schema([("row", pa.int64()), ("n", pa.int32()), ("grams", pa.list_(pa.int64())), ("grouped", pa.int32())])
+
+    def run(batches):
+        seen: set[int] = set()  # an id may occur in several equal rows
+        for batch in blocks(batches, "text", HELD):
+            each = sets(batch.column("text"), n)
+            one, two = digests(each)
+            same = (one.view(np.int64) == batch.column("d1").to_numpy()) & (two.view(np.int64) == batch.column("d2").to_numpy())
+            rows, at = batch.column("row").to_numpy(), []
+            for i in np.flatnonzero(same).tolist():
+                if int(rows[i]) not in seen:
+                    seen.add(int(rows[i]))
+                    at.append(i)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[at]), pa.array([len(each[i]) for i in at], pa.int32()), pa.array([each[i].view(np.int64) for i in at], pa.list_(pa.int64())), batch.column("grouped").take(pa.array(at, pa.int32()))], schema=fields)
+
+    return likely.join(wanted, "doc").select("row", "d1", "d2", "grouped", "text").mapInArrow(run, "row long, n int, grams array<bigint>, grouped int")
+
+
+def compare(left: pd.DataFrame, right: pd.DataFrame, percent: int, every: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Links (i of ``left``, j of ``right``) among sets known by their differences (``weight``, ``diff``) from one reference. Postings of what differs give the shared differences.
+    Without ``every``, links that join what is joined already are left out."""
+    rows, other = left["row"].to_numpy(), right["row"].to_numpy()
+    weight, more, own = left["weight"].to_numpy(), right["weight"].to_numpy(), left["component"].to_numpy()
+    if not len(rows) or not len(other):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    lengths = np.array([len(d) for d in right["diff"]])
+    grams = np.concatenate(right["diff"].to_list()) if lengths.sum() else np.zeros(0, np.int64)
+    order = np.argsort(grams, kind="stable")
+    grams, holder = grams[order], np.repeat(np.arange(len(other)), lengths)[order]
+    component, up = right["component"].to_numpy(), {}
+
+    def root(c):
+        while c in up:
+            c = up[c]
+        return c
+
+    xs, ys = [], []
+    for i, d in enumerate(left["diff"]):
+        a, b = np.searchsorted(grams, d, "left"), np.searchsorted(grams, d, "right")
+        common = np.bincount(holder[ragged(a, b - a)], minlength=len(other))
+        hit = np.flatnonzero((weight[i] + more + 2 * (100 + percent) * common >= 0) & (other != rows[i]))
+        if not every:
+            kept = []
+            for c, j in zip(*(a.tolist() for a in np.unique(component[hit], return_index=True))):
+                x, y = root(int(own[i])), root(c)
+                if x != y:
+                    up[x] = y
+                    kept.append(hit[j])
+            hit = np.array(kept, np.int64)
+        xs.append(np.full(len(hit), i))
+        ys.append(hit)
+    return np.concatenate(xs), np.concatenate(ys)
+
+
+def _group_links(members: DataFrame, whole: DataFrame, percent: int, every: bool) -> DataFrame:
+    """Links (u, v) inside the groups of ``members`` (row, n, group): all of them with ``every``, else enough to hold every component together."""
+    order = Window.partitionBy("group").orderBy(F.xxhash64("row"))
+    sample = members.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= SAMPLE).select("group", "row")
+    size = sample.groupBy("group").agg(F.count(F.lit(1)).alias("sampled"))
+    grams = sample.join(whole.select("row", "grams"), "row").select("group", F.explode("grams").alias("gram")).groupBy("group", "gram").agg(F.count(F.lit(1)).alias("k"))
+    reference = materialise(grams.join(size, "group").where(F.col("k") * 2 > F.col("sampled")).groupBy("group").agg(F.collect_list("gram").alias("reference")), "references")
+    fields = pa.schema([("group", pa.int64()), ("row", pa.int64()), ("weight", pa.int64()), ("diff", pa.list_(pa.int64()))])
+
+    def run(batches):
+        for batch in batches:
+            diffs, n = [], batch.column("n").to_numpy().astype(np.int64)
+            for s, r in zip(batch.column("grams"), batch.column("reference")):
+                there = r.values.to_numpy(zero_copy_only=False) if r.is_valid else np.zeros(0, np.int64)
+                diffs.append(np.setxor1d(s.values.to_numpy(zero_copy_only=False), there, assume_unique=True))
+            size = np.array([len(d) for d in diffs], np.int64)
+            # two sets are linked where their weights and 2 (100 + percent) for each shared difference add up to 0 at least
+            yield pa.RecordBatch.from_arrays([batch.column("group"), batch.column("row"), pa.array((100 - percent) * n - (100 + percent) * size), pa.array(diffs, pa.list_(pa.int64()))], schema=fields)
+
+    known = members.select("row", "group").join(whole, "row").join(reference, "group", "left")
+    diffs = materialise(known.select("group", "row", "n", "grams", "reference").mapInArrow(run, "group long, row long, weight long, diff array<bigint>"), "differences")
+    centre = diffs.groupBy("group").agg(F.max(F.struct("weight", "row")).alias("c"), F.count(F.lit(1)).alias("size")).select("group", F.col("c.row").alias("centre"), F.col("c.weight").alias("top"), "size")
+    placed = diffs.join(centre, "group").withColumn("close", F.col("weight") + F.col("top") >= 0)
+    star = placed.where(F.col("close") & (F.col("row") != F.col("centre"))).select(F.greatest("row", "centre").alias("u"), F.least("row", "centre").alias("v"))
+    # what is left: sets that aren't close to the centre, beside all of their group
+    far = placed.groupBy("group").agg(F.sum((~F.col("close") if not every else F.lit(True)).cast("long")).alias("n_left"))
+    placed = placed.join(far.where("n_left > 0"), "group").withColumn("component", F.when(F.col("close"), F.col("centre")).otherwise(F.col("row")))
+    parts = lambda c: F.ceil(F.col(c) / TASK).cast("int")
+    own = lambda c: F.pmod(F.xxhash64("row"), parts(c)).cast("int")
+    every_part = lambda c: F.explode(F.sequence(F.lit(0), parts(c) - 1))
+    taken = placed if every else placed.where(~F.col("close"))
+    body = ["group", "row", "weight", "diff", "component"]
+    left = taken.select(*body, own("n_left").alias("i"), F.lit(0).alias("side"), every_part("size").alias("j"))
+    right = placed.select(*body, every_part("n_left").alias("i"), F.lit(1).alias("side"), own("size").alias("j"))
+
+    def block(own_rows: pd.DataFrame) -> pd.DataFrame:
+        left, right = own_rows[own_rows["side"] == 0].sort_values("row"), own_rows[own_rows["side"] == 1].sort_values("row")
+        i, j = compare(left, right, percent, every)
+        a, b = left["row"].to_numpy()[i], right["row"].to_numpy()[j]
+        return pd.DataFrame({"u": np.maximum(a, b), "v": np.minimum(a, b)})
+
+    derived = left.unionByName(right).groupBy("group", "i", "j").applyInPandas(block, "u long, v long")
+    return materialise((derived if every else star.unionByName(derived)).distinct(), "group-links")
 
 
 def similar_sets(docs: DataFrame, n: int = 4, percent: int = 85, every: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(summary of each row, links). ``docs``: doc (long), text. Summary: row, doc, n, d1, d2 and node, the row that stands for its set. Links: distinct pairs u > v of nodes
+    """(summary of each row, links). ``docs``: doc (long), text, mark (long). Summary: row, doc, mark, n, d1, d2 and node, the row that stands for its set. Links: distinct pairs u > v of nodes
     whose sets have ``percent`` of their union in common: with ``every`` all of them, else enough to hold every component together."""
-    spark = docs.sparkSession
     raw = materialise(_summary(docs, n), "sets")
     rows = raw.where("row is not null").drop("gram", "count")
-    total = rows.count()
-    frequent = [r["gram"] for r in raw.where("gram is not null").groupBy("gram").agg(F.sum("count").alias("n")).where(F.col("n") > max(2, FREQUENT * total)).select("gram").collect()]  # bounded: see FREQUENT
-    nodes = materialise(rows.where("n > 0").groupBy("d1", "d2").agg(F.min(F.struct("row", "doc", "n", "bits")).alias("r")).select("d1", "d2", "r.*"), "nodes")
-    prefixes = materialise(_prefixes(docs, n, percent, np.array(frequent, np.int64).view(np.uint64)), "prefixes")
-    lists = materialise(prefixes.groupBy("gram").agg(F.min("d1").alias("a"), F.max("d1").alias("b"), F.count(F.lit(1)).alias("size")).where("a <> b").select("gram", "size"), "lists")
-    release(spark)
-    index = materialise(prefixes.join(lists, "gram").dropDuplicates(["gram", "d1"]), "index")
-    discard(prefixes, lists)
-    # short lists: all pairs of sizes that fit
-    short = index.where(F.col("size") <= LONG)
-    fits = (F.col("n") >= F.col("n2")) & (F.col("n") * percent <= F.col("n2") * 100)
-    pairs = short.select("gram", "d1", "n").join(short.select("gram", F.col("d1").alias("e1"), F.col("n").alias("n2")), "gram").where(fits & ((F.col("n") > F.col("n2")) | (F.col("d1") > F.col("e1")))).select("d1", "e1").distinct()
-    side = nodes.select("d1", "row", "n", "bits")
-    pairs = materialise(pairs, "pairs").join(side, "d1").join(side.select(F.col("d1").alias("e1"), F.col("row").alias("row2"), F.col("n").alias("n2"), F.col("bits").alias("bits2")), "e1")
-    gap = _differences(F.col("bits"), F.col("bits2"))
-    near = pairs.withColumn("gap", gap).where(F.col("gap") <= _may_differ(F.col("n"), F.col("n2"), percent)).select(F.col("row").alias("x"), F.col("row2").alias("y"), "gap")
-    long = index.where(F.col("size") > LONG)
-    grams = materialise(long.groupBy("d1").agg(F.collect_list("gram").alias("grams")).join(side, "d1"), "long-sets")
-    members = long.select("gram", "size", "d1").join(grams, "d1").drop("d1")
-    near = materialise(near.unionByName(_long_pairs(members.withColumn("component", F.col("row")), percent, not every)), "near")
-    release(spark)
-    summary = rows.drop("bits").join(nodes.select("d1", "d2", F.col("row").alias("node")), ["d1", "d2"], "left")
-    if every:
-        return summary, _verify(docs, nodes, near.select("x", "y"), n, percent)
-    # each set beside the nearest one; then only what lies between components
-    ends = near.select("x", "y", "gap").unionByName(near.select(F.col("y").alias("x"), F.col("x").alias("y"), "gap"))
-    best = materialise(ends.groupBy("x").agg(F.min_by("y", F.struct("gap", "y")).alias("y")), "nearest")
-    links = _verify(docs, nodes, best, n, percent)
-    known = materialise(connected_components(links), "known").withColumnRenamed("node", "row")
-    of = lambda c: known.select(F.col("row").alias(c), F.col("component").alias(f"{c}_in"))
-    apart = near.join(of("x"), "x", "left").join(of("y"), "y", "left").where(F.coalesce("x_in", "x") != F.coalesce("y_in", "y")).select("x", "y")
-    if not grams.isEmpty():
-        more = _long_pairs(members.join(known, "row", "left").withColumn("component", F.coalesce("component", "row")), percent, False)
-        apart = apart.unionByName(more.select("x", "y"))
-    tried = best.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v"))
-    apart = materialise(apart.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct().join(tried, ["u", "v"], "left_anti").select(F.col("u").alias("x"), F.col("v").alias("y")), "apart")
-    release(spark)
-    if not apart.isEmpty():
-        links = materialise(links.unionByName(_verify(docs, nodes, apart, n, percent)).distinct(), "links")
-    return summary, links
-
-
-def _verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Links among ``pairs`` (x, y), by comparing whole sets where wide bitmaps leave it open. Sets of the documents named are made again from their texts."""
-    pairs = pairs.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct()
-    wanted = materialise(pairs.select(F.col("u").alias("row")).unionByName(pairs.select(F.col("v").alias("row"))).distinct().join(nodes.select("row", "doc", "d1", "d2"), "row"), "wanted")
-    fields = pa.schema([("row", pa.int64()), ("n", pa.int32()), ("wide", pa.list_(pa.int64())), ("grams", pa.list_(pa.int64()))])
+    counted = raw.where("gram is not null").groupBy("gram").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "gram").limit(FREQUENT).toPandas()  # bounded
+    frequent = counted["gram"].to_numpy(np.int64).view(np.uint64), counted["count"].to_numpy(np.int64)
+    nodes = materialise(rows.where("n > 0").groupBy("d1", "d2").agg(F.min(F.struct("row", "doc", "n")).alias("r")).select("d1", "d2", "r.*"), "nodes")
+    gathered = Window.partitionBy("gram", "salt")
+    shared = (F.min("d1").over(gathered) != F.max("d1").over(gathered)) | (F.col("salt") > 0)
+    several = materialise(_prefixes(docs.select("doc", "text"), n, percent, frequent).withColumn("several", shared).where("several").select("gram", "d1", "d2", "at"), "shared-prefixes")
+    index = materialise(several.join(nodes.select("d1", "d2", "row", "n"), ["d1", "d2"]).select("gram", "row", "n", "at").dropDuplicates(["gram", "row"]), "index")
+    lists = materialise(index.groupBy("gram").agg(F.count(F.lit(1)).alias("size"), F.min("row").alias("first")).where("size > 1"), "lists")
+    discard(several)
+    long = index.join(lists.where(F.col("size") > LONG), "gram").where("row <> first").select(F.col("row").alias("u"), F.col("first").alias("v"))
+    groups = materialise(connected_components(long), "groups")  # node, component
+    pairs = _short_pairs(index.join(lists.where(F.col("size") <= LONG).select("gram"), "gram"), percent)
+    of = lambda c: groups.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))
+    # pairs inside a group are found there
+    pairs = pairs.join(of("x"), "x", "left").join(of("y"), "y", "left").where("x_in is null or y_in is null or x_in <> y_in")
+    pairs = materialise(pairs.select(F.col("x").alias("u"), F.col("y").alias("v")), "pairs")
+    discard(index, lists)
+    ends = pairs.select(F.col("u").alias("row")).unionByName(pairs.select(F.col("v").alias("row"))).withColumn("grouped", F.lit(0))
+    named = ends.unionByName(groups.select(F.col("node").alias("row"), F.lit(1).alias("grouped"))).groupBy("row").agg(F.max("grouped").alias("grouped"))
+    wanted = materialise(named.join(nodes.select("row", "doc", "d1", "d2"), "row"), "wanted")
+    whole = materialise(_whole(docs.select("doc", "text"), wanted, n), "whole-sets", "grouped")
+    left, right = (whole.select(F.col("row").alias(c), F.col("grams").alias(f"of_{c}")) for c in ("u", "v"))
+    common = F.size(F.array_intersect("of_u", "of_v"))
+    links = pairs.join(left, "u").join(right, "v").where(common * (100 + percent) >= percent * (F.size("of_u") + F.size("of_v"))).select("u", "v")
+    links = materialise(links, "pair-links")
+    members = groups.select(F.col("node").alias("row"), F.col("component").alias("group"))
+    inside = _group_links(members, whole.where("grouped = 1").drop("grouped"), percent, every)
+    summary = materialise(rows.join(nodes.select("d1", "d2", F.col("row").alias("node")), ["d1", "d2"], "left"), "rows-of-sets")
+    discard(raw, nodes, wanted, whole, pairs)
+    return summary, links.unionByName(inside)
+
+
+def _placed(docs: DataFrame, n: int, percent: int, id_col: str, text: str) -> DataFrame:
+    """(row, doc, mark, n, component) of each row: rows of one component agree on it. A null id counts as the smallest integer."""
+    texts = F.col(text).cast("string")
+    named = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)).alias("doc"), texts.alias("text"), F.xxhash64(texts, F.octet_length(texts)).alias("mark"))
+    rows, links = similar_sets(named, n, percent)
+    return materialise(rows.join(connected_components(links), "node", "left").select("row", "doc", "mark", "n", F.coalesce("component", "node", "row").alias("component")), "placed")
 
-    def run(batches):
-        for batch in blocks(batches, "text"):
-            each = sets(batch.column("text"), n)
-            one, two = digests(each)
-            same = (one.view(np.int64) == batch.column("d1").to_numpy()) & (two.view(np.int64) == batch.column("d2").to_numpy())
-            at = np.flatnonzero(same)
-            many = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(batch.column("row").to_numpy()[at]), pa.array([len(each[i]) for i in at], pa.int32()), pa.array([wide_bitmap(each[i]) for i in at], many), pa.array([each[i].view(np.int64) for i in at], many)], schema=fields)
-
-    whole = materialise(docs.join(wanted, "doc").select("row", "d1", "d2", "text").mapInArrow(run, "row long, n int, wide array<bigint>, grams array<bigint>").dropDuplicates(["row"]), "whole-sets")
-    release(docs.sparkSession)
-    # wide bitmaps first; where one has twice the places, its halves are folded onto each other
-    left, right = (whole.select(F.col("row").alias(u), F.col("n").alias(f"n{u}"), F.col("wide").alias(f"w{u}")) for u in ("u", "v"))
-    half = lambda w, k: F.zip_with(F.slice(w, 1, k), F.slice(w, k + 1, k), lambda x, y: x.bitwiseXOR(y))
-    wu, wv = F.col("wu"), F.col("wv")
-    fold = lambda w, o: F.when(F.size(w) == F.size(o) * 2, half(w, F.size(o))).otherwise(w)
-    close = _differences(fold(wu, wv), fold(wv, wu)) <= _may_differ(F.col("nu"), F.col("nv"), percent)
-    pairs = materialise(pairs.join(left, "u").join(right, "v").where(close).select("u", "v"), "close")
-    release(docs.sparkSession)
-    both = pairs.join(whole.select(F.col("row").alias("u"), F.col("grams").alias("a")), "u").join(whole.select(F.col("row").alias("v"), F.col("grams").alias("b")), "v")
-    shared = F.size(F.array_intersect("a", "b"))
-    links = materialise(both.where(shared * (100 + percent) >= percent * (F.size("a") + F.size("b"))).select("u", "v"), "links")
-    discard(wanted, whole)
-    return links
+
+LOWEST = -(1 << 63)
 
 
 def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -271,24 +375,20 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, id_col: s
 
     Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z. Documents link when ``100 * intersection >= percent * union``; those without words link
     with nothing. Rows with equal sets, repeated ids included, share a component. A null id counts as the smallest integer, and stays null in the result; it gives a component no name.
+    Other columns are ignored; an empty table gives an empty result.
     """
-    lowest = F.lit(-(1 << 63))
-    named = docs.select(F.coalesce(F.col(id_col).cast("long"), lowest).alias("doc"), F.col(text).cast("string").alias("text"))
-    rows, links = similar_sets(named, n, percent)
-    known = materialise(connected_components(links), "components")
-    placed = materialise(rows.join(known, "node", "left").select("row", "doc", "n", F.coalesce("component", "node", "row").alias("component")), "placed")
-    real = F.when(F.col("doc") > lowest, F.col("doc"))
-    names = materialise(placed.groupBy("component").agg(F.min(real).alias("component_id"), F.count(F.lit(1)).alias("many")).where("many > 1").drop("many"), "names")
+    placed = _placed(docs, n, percent, id_col, text)
+    real = F.when(F.col("doc") > LOWEST, F.col("doc"))
+    names = placed.groupBy("component").agg(F.min(real).alias("component_id"), F.count(F.lit(1)).alias("many")).where("many > 1").drop("many")
     return placed.join(names, "component", "left").select(real.alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", real).alias("component_id"))
 
 
 def jaccard_links(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, n_links, one for each row of ``docs``: how many other rows it links with, as in ``jaccard_components``, those of equal sets among them.
-    Every pair that the index and the bitmaps allow is compared, inside components too, so the work grows with the number of links."""
-    named = docs.select(F.col(id_col).cast("long").alias("real"), F.monotonically_increasing_id().alias("doc"), F.col(text).cast("string").alias("text"))
+    Every link is made, those inside groups too, so the work grows with the number of links."""
+    named = docs.select(F.col(id_col).cast("long").alias("real"), F.monotonically_increasing_id().alias("doc"), F.col(text).cast("string").alias("text"), F.lit(0).cast("long").alias("mark"))
     named = materialise(named, "numbered")
-    rows, links = similar_sets(named.select("doc", "text"), n, percent, every=True)
-    rows = materialise(rows, "rows-of-sets")
+    rows, links = similar_sets(named.select("doc", "text", "mark"), n, percent, every=True)
     copies = rows.where("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("copies"))
     ends = links.select(F.col("u").alias("node"), F.col("v").alias("other")).unionByName(links.select(F.col("v").alias("node"), F.col("u").alias("other")))
     others = ends.join(copies.select(F.col("node").alias("other"), "copies"), "other").groupBy("node").agg(F.sum("copies").alias("others"))
@@ -297,7 +397,14 @@ def jaccard_links(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str =
     return named.select("doc", F.col("real").alias("doc_id")).join(counted, "doc").drop("doc")
 
 
-def keep_one_of_each(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
-    """Rows of ``docs`` of which each component keeps the document with the smallest id; the others go, by their ids. Rows without an id stay."""
-    gone = jaccard_components(docs, n, percent).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(materialise(gone, "gone"), F.col("doc_id") == F.col("__gone"), "left_anti")
+def keep_one_of_each(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` of which each component keeps the one of smallest id (of several rows with that id, that of smallest text hash); other columns
+    pass through. Rows are told apart by id and text, so another row that repeats an id is judged by its own text; rows that agree in both stay or go together.
+    A null id is the largest here: such a row stays only where its component has no other."""
+    placed = _placed(docs, n, percent, id_col, text)
+    rank = F.struct((F.col("doc") == LOWEST).alias("unnamed"), "doc", "mark")
+    best = placed.groupBy("component").agg(F.min(rank).alias("best"))
+    gone = placed.join(best, "component").where(rank != F.col("best")).select(F.col("doc").alias("__doc"), F.col("mark").alias("__mark")).distinct()
+    texts = F.col(text).cast("string")
+    same = (F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)) == F.col("__doc")) & (F.xxhash64(texts, F.octet_length(texts)) == F.col("__mark"))
+    return docs.join(materialise(gone, "gone"), same, "left_anti")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import gc
 import tempfile
-import time
 import uuid
 
 import numpy as np
@@ -13,18 +12,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder's URI below ``spark.checkpoint.dir``; that setting is filled in only where it is unset (tests)."""
+    """A new folder's URI below ``spark.checkpoint.dir``. Only a local session may leave that setting out (tests); elsewhere no folder of one machine would do."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="gridloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: cuts the lineage, and survives a lost executor."""
+def materialise(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """Writes ``df`` to the shared folder and reads it back: cuts the lineage, and survives a lost executor. ``by``: columns that get folders of their own."""
     path = shared_folder(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.partitionBy(*by).option("compression", "zstd").parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back.written_to = path
     return back
@@ -39,11 +40,9 @@ def discard(*frames: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Spark removes shuffle files when the driver no longer holds their steps; that is noticed by its garbage collector only."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+    """Lets go of the shuffle files of finished steps: Spark removes them when its garbage collector finds that nothing refers to the step any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def text_buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
