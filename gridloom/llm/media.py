@@ -21,6 +21,8 @@ from .runtime import blocks, text_buffer
 CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta", b"mvex", b"moof", b"traf"}
 MATRIX = struct.pack(">9i", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
 SAMPLE = 192
+#: A box's path names so many of the boxes around it.
+DEEPEST = 15
 
 
 def _box(kind: bytes, *body: bytes) -> bytes:
@@ -71,9 +73,13 @@ def mux(payload: bytes, sample: int = SAMPLE, key_every: int = 16, chunk: int =
 
 
 def walk(data: memoryview, start: int = 0, end: int | None = None, path: tuple = ()):
-    """(path, start of the body, end) of each box, containers before what they hold. Understands 64-bit and to-the-end sizes; damaged sizes end the walk."""
-    end = len(data) if end is None else end
-    while start + 8 <= end:
+    """(path, start of the body, end) of each box, containers before what they hold, however deep. Understands 64-bit and to-the-end sizes; a damaged size ends
+    the walk of the box that holds it."""
+    todo = [(start, len(data) if end is None else end, path)]
+    while todo:
+        start, end, path = todo.pop()
+        if start + 8 > end:
+            continue
         size, kind = struct.unpack_from(">I4s", data, start)
         body = start + 8
         if size == 1 and body + 8 <= end:
@@ -81,39 +87,86 @@ def walk(data: memoryview, start: int = 0, end: int | None = None, path: tuple =
         elif size == 0:
             size = end - start
         if size < body - start or start + size > end:
-            return
-        here = (*path, kind.decode("latin-1"))
+            continue
+        here = (*path[-DEEPEST:], kind.decode("latin-1"))
         yield here, body, start + size
+        todo.append((start + size, end, path))
         if kind in CONTAINERS:
-            yield from walk(data, body, start + size, here)
-        start += size
+            todo.append((body, start + size, here))
 
 
 def _ints(data: memoryview, at: int, end: int, columns: int, kind: str = ">u4") -> np.ndarray:
+    """A table of a count and so many rows; a count that the box has no room for is cut to what is there."""
+    if end - at < 4:
+        return np.zeros((0, columns), np.int64)
     n = struct.unpack_from(">I", data, at)[0]
     n = min(n, (end - at - 4) // (columns * int(kind[-1])))
     return np.frombuffer(data, kind, n * columns, at + 4).astype(np.int64).reshape(n, columns)
 
 
+def _fragment(view: memoryview, at: int, end: int, base: int, default: int) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, sizes) of the samples of a ``trun`` box whose data begin at ``base`` where it names no offset of its own."""
+    if end - at < 8:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    flags, n = struct.unpack_from(">II", view, at)
+    at += 8
+    if flags & 1 and end - at >= 4:
+        base, at = base + struct.unpack_from(">i", view, at)[0], at + 4
+    at += 4 if flags & 4 else 0
+    present = [bool(flags & bit) for bit in (0x100, 0x200, 0x400, 0x800)]
+    width = sum(present)
+    if not width:
+        n = min(n, (len(view) - base) // default if default > 0 and base >= 0 else 0)  # no more samples than the file has bytes for
+        sizes = np.full(max(n, 0), default, np.int64)
+    else:
+        n = max(0, min(n, (end - at) // (4 * width)))
+        table = np.frombuffer(view, ">u4", n * width, at).astype(np.int64).reshape(n, width)
+        sizes = table[:, int(present[0])] if present[1] else np.full(n, default, np.int64)
+    return base + np.cumsum(sizes) - sizes, sizes
+
+
 def probe(data: bytes) -> list[dict]:
-    """Of each track: codec, handler, timescale, duration, samples' sizes, offsets, and sync samples, from the sample tables alone."""
-    view, tracks = memoryview(data), []
+    """Of each track: codec, handler, timescale, duration, samples' sizes, offsets, and sync samples, from the sample tables and movie fragments alone. Short, empty and
+    contradicting tables give what they hold: samples that would lie outside of the file are left out. Samples of a fragment count as sync samples where its first does."""
+    view, tracks, by_id, defaults = memoryview(data), [], {}, {}
+    none = lambda *shape: np.zeros(shape, np.int64)
+    moof, target, more = 0, None, {}
     for path, at, end in walk(view):
-        kind = path[-1]
+        kind, room = path[-1], end - at
         if kind == "trak":
-            tracks.append({"codec": None, "handler": None, "timescale": 0, "duration": 0, "sizes": np.zeros(0, np.int64), "sync": None, "chunks": np.zeros(0, np.int64), "runs": np.zeros((0, 3), np.int64), "times": np.zeros((0, 2), np.int64)})
+            tracks.append({"codec": None, "handler": None, "timescale": 0, "duration": 0, "sizes": none(0), "sync": None, "chunks": none(0), "runs": none(0, 3), "times": none(0, 2)})
+        elif kind == "moof":
+            moof = at - 8
+        elif kind == "tfhd" and room >= 8:
+            flags, track = struct.unpack_from(">II", view, at)
+            base, place = moof, at + 8
+            if flags & 1 and end - place >= 8:
+                base, place = struct.unpack_from(">Q", view, place)[0], place + 8
+            place += (4 if flags & 2 else 0) + (4 if flags & 8 else 0)
+            size = struct.unpack_from(">I", view, place)[0] if flags & 0x10 and end - place >= 4 else defaults.get(track, 0)
+            target = (track, min(base, len(view)), size)
+        elif kind == "trex" and room >= 24:
+            track, size = struct.unpack_from(">I", view, at + 4)[0], struct.unpack_from(">I", view, at + 16)[0]
+            defaults[track] = size
+        elif kind == "trun" and target:
+            offsets, sizes = _fragment(view, at, end, target[1], target[2])
+            more.setdefault(target[0], []).append((offsets, sizes))
+            if len(offsets):
+                target = (target[0], int(offsets[-1] + sizes[-1]), target[2])
         if not tracks or "trak" not in path:
             continue
         t = tracks[-1]
-        if kind == "mdhd":
+        if kind == "tkhd" and room >= (24 if view[at] else 16):
+            by_id[struct.unpack_from(">I", view, at + (20 if view[at] else 12))[0]] = t
+        elif kind == "mdhd" and room >= (32 if view[at] else 20):
             t["timescale"], t["duration"] = struct.unpack_from(">IQ", view, at + 20) if view[at] else struct.unpack_from(">II", view, at + 12)
-        elif kind == "hdlr":
+        elif kind == "hdlr" and room >= 12:
             t["handler"] = bytes(view[at + 8 : at + 12]).decode("latin-1")
-        elif kind == "stsd" and end - at >= 16:
+        elif kind == "stsd" and room >= 16:
             t["codec"] = bytes(view[at + 12 : at + 16]).decode("latin-1").strip()
-        elif kind == "stsz":
+        elif kind == "stsz" and room >= 12:
             size, n = struct.unpack_from(">II", view, at + 4)
-            t["sizes"] = np.full(n, size, np.int64) if size else _ints(view, at + 8, end, 1)[:, 0]
+            t["sizes"] = np.full(min(n, len(view) // size), size, np.int64) if size else _ints(view, at + 8, end, 1)[:, 0]
         elif kind == "stss":
             t["sync"] = _ints(view, at + 4, end, 1)[:, 0]
         elif kind == "stsc":
@@ -123,16 +176,27 @@ def probe(data: bytes) -> list[dict]:
         elif kind in ("stco", "co64"):
             t["chunks"] = _ints(view, at + 4, end, 1, ">u4" if kind == "stco" else ">u8")[:, 0]
     for t in tracks:
-        first = t["runs"][:, 0]
-        per = np.repeat(t["runs"][:, 1], np.diff(np.append(first, len(t["chunks"]) + 1))) if len(first) else np.zeros(0, np.int64)
-        per = per[: len(t["chunks"])]
-        n, sizes = min(int(per.sum()), len(t["sizes"])), t["sizes"]
-        chunk = np.repeat(np.arange(len(per)), per)[:n]
+        runs = t["runs"][(t["runs"][:, 0] >= 1) & (t["runs"][:, 0] <= len(t["chunks"]))]
+        first = np.maximum.accumulate(runs[:, 0]) if len(runs) else none(0)
+        sizes = t["sizes"]
+        per = np.repeat(np.minimum(runs[:, 1], len(sizes)), np.diff(np.append(first, len(t["chunks"]) + 1))) if len(first) else none(0)
+        chunks = t["chunks"][int(first[0]) - 1 :] if len(first) else none(0)
+        ends = np.minimum(np.cumsum(per), len(sizes))
+        per = np.diff(np.append(0, ends))  # no more samples than have a size
+        n = int(ends[-1]) if len(ends) else 0
+        chunk = np.repeat(np.arange(len(per)), per)
         before = np.cumsum(sizes[:n]) - sizes[:n]
         starts = np.cumsum(per) - per
-        t["offsets"] = t["chunks"][chunk] + before - before[np.minimum(starts[chunk], max(n - 1, 0))] if n else np.zeros(0, np.int64)
+        offsets = chunks[chunk] + before - before[np.minimum(starts[chunk], max(n - 1, 0))] if n else none(0)
         sync = np.arange(1, n + 1) if t["sync"] is None else t["sync"]
-        t["keys"] = sync[(sync >= 1) & (sync <= n)] - 1
+        key = np.zeros(n, bool)
+        key[sync[(sync >= 1) & (sync <= n)] - 1] = True
+        sizes = sizes[:n]
+        for place, part in more.get(next((k for k, v in by_id.items() if v is t), None), ()):
+            offsets, sizes = np.append(offsets, place), np.append(sizes, part)
+            key = np.append(key, np.arange(len(part)) == 0)
+        inside = (offsets >= 0) & (offsets <= len(view)) & (sizes >= 0) & (sizes <= len(view) - offsets)
+        t["offsets"], t["sizes"], t["keys"] = offsets[inside], sizes[inside], np.flatnonzero(key[inside])
     return tracks
 
 
@@ -172,8 +236,9 @@ def to_media(df: DataFrame, text: str = "text", out: str = "media") -> DataFrame
 def media_features(df: DataFrame, media: str = "media") -> DataFrame:
     """Replaces ``media`` by payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, codec, duration (of the first track's timescale),
     keyframes (array of structs offset, length) and feature. Bytes that are no container give no codec and an empty payload;
-    null stays null."""
-    kept = [f for f in df.schema if f.name != media]
+    null stays null. Columns of ``df`` that have one of these names are replaced; others pass through."""
+    new = {"payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "codec", "duration", "keyframes", "feature"}
+    kept = [f for f in df.schema if f.name != media and f.name not in new]
     ranges = pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64())]))
     fields = [("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("codec", pa.string()), ("duration", pa.float64()), ("keyframes", ranges), ("feature", pa.string())]
 
