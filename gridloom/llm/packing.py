@@ -1,8 +1,8 @@
 """Best-fit packing of documents into sequences of at most ``capacity`` tokens.
 
-Tokenising gives one short row per piece; packing moves these rows only. Pieces are dealt evenly into groups of bounded size, each group is packed by
-best-fit decreasing and improved by a swap-based local search; what is left underfull in all groups is packed again together, in
-groups of the same bounded size. So no task holds more than about ``group_size`` pieces, and the loss is a few bins for each group of the last round.
+Tokenising gives one short row per piece; packing moves these rows only. Pieces are dealt into groups of bounded size and of one mix of lengths, each group is packed by
+best-fit decreasing and improved by a swap-based local search; what is left underfull in all groups is dealt and packed again, in
+rounds that end when they save nothing. So no task holds more than about ``group_size`` pieces, and the loss is a few bins for each group of the last round.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .runtime import blocks, materialise, text_buffer
@@ -179,33 +179,53 @@ def token_pieces(docs: DataFrame, tokenizer: str, kind: str, end: int, capacity:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(cut, "row long, doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = 4096, group_size: int = 50_000, underfull: float = 0.995, fold: int = 64) -> DataFrame:
+def dealt(pieces: DataFrame, groups: int, seed: int, buckets: int = 1024) -> DataFrame:
+    """row, length and group: pieces are numbered in the order of their lengths and dealt round, so every group gets the same mix of lengths. Numbers within a length
+    are made in ``buckets`` by a hash, as one length may have a large share of all pieces; windows beyond that see counts only."""
+    known = pieces.select("row", "length", F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(buckets)).alias("bucket"))
+    if groups == 1:
+        return known.select("row", "length", F.lit(0).cast("long").alias("group"))
+    counts = known.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("k"))
+    lengths = counts.groupBy("length").agg(F.sum("k").alias("k"))  # a row for each length: the capacity at most
+    shorter = lengths.select("length", (F.sum("k").over(Window.orderBy("length")) - F.col("k")).alias("shorter"))
+    base = counts.withColumn("lower", F.sum("k").over(Window.partitionBy("length").orderBy("bucket")) - F.col("k")).join(shorter, "length")
+    nth = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("row"))
+    number = F.col("shorter") + F.col("lower") + F.col("nth")
+    return known.withColumn("nth", nth).join(base.drop("k"), ["length", "bucket"]).select("row", "length", F.pmod(number, F.lit(groups)).alias("group"))
+
+
+def pack_pieces(pieces: DataFrame, capacity: int = 4096, group_size: int = 50_000, underfull: float = 0.995) -> DataFrame:
     """Adds sequence_id and offset to materialised ``pieces`` (columns row, length, and others that pass through).
 
-    Pieces of full length are sequences of their own. The rest is dealt by a hash of the row's number, so repeated documents don't meet in one group. Bins of
-    less than ``underfull`` of the capacity are packed again in 1/``fold`` as many groups. Empty tables stay empty; lengths must be 1 to ``capacity``.
+    Pieces of full length are sequences of their own. The rest is dealt into groups that have the same mix of lengths, each of about ``group_size`` pieces. The pieces of bins of
+    less than ``underfull`` of the capacity are dealt and packed again, until they make one group or a round saves no bin. Empty tables stay empty; lengths must be 1 to ``capacity``.
     """
-    short = pieces.where(F.col("length") < capacity)
-    groups = max(1, -(-short.count() // group_size))
-    again = -(-groups // fold)
 
     def packer(key, rows):
         rows = rows.sort_values("row")  # the same result from the same group, whatever order it comes in
         place, offset, fill = pack(rows["length"].tolist(), capacity)
         return pd.DataFrame({"row": rows["row"], "length": rows["length"], "bin": place + (int(key[0]) << 24), "offset": offset, "fill": fill})
 
-    deal = lambda df, n, seed: df.select("row", "length", F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(n)).alias("group"))
     schema = "row long, length long, bin long, offset long, fill long"
-    first = materialise(deal(short, groups, 1).groupBy("group").applyInPandas(packer, schema), "packed")
-    good = F.col("fill") >= underfull * capacity
-    if groups > 1:
-        second = deal(first.where(~good), again, 2).groupBy("group").applyInPandas(packer, schema)
-        first = first.where(good).withColumn("round", F.lit(1)).unionByName(second.withColumn("round", F.lit(2)))
-    else:
-        first = first.withColumn("round", F.lit(1))
-    packed = first.select("row", (F.col("bin") * 4 + F.col("round")).alias("sequence_id"), "offset")
-    alone = pieces.where(F.col("length") >= capacity).select("*", (F.col("row") * 4).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    return short.join(packed, "row").unionByName(alone)
+    short = pieces.where(F.col("length") < capacity)
+    left, done, bins, nth = short.select("row", "length"), None, None, 0
+    last = None
+    while True:
+        groups = max(1, -(-left.count() // group_size))
+        nth += 1
+        packed = materialise(dealt(left, groups, nth).groupBy("group").applyInPandas(packer, schema).withColumn("nth", F.lit(nth)), "packed")
+        low = packed.where(F.col("fill") < underfull * capacity)
+        used = packed.select("bin").distinct().count()
+        if bins is not None and used >= bins:
+            packed, low = last, None  # the round before was as good
+        good = packed if groups == 1 or low is None else packed.where(F.col("fill") >= underfull * capacity)
+        done = good if done is None else done.unionByName(good)
+        if groups == 1 or low is None:
+            break
+        left, last, bins = low.select("row", "length"), low, low.select("bin").distinct().count()
+    ids = done.select("row", (F.col("bin") * 4096 + F.col("nth")).alias("sequence_id"), "offset")
+    alone = pieces.where(F.col("length") >= capacity).select("*", (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return short.join(ids, "row").unionByName(alone)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, kind: str = "word", end: int = 1, capacity: int = 4096) -> DataFrame:
