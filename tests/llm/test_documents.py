@@ -85,6 +85,46 @@ def test_media_other_containers(spark):
     assert got[1]["media_bytes"] is None and got[2]["payload_bytes"] == 0 and got[2]["codec"] is None
 
 
+def test_media_damaged_containers(spark):
+    """Cut, changed and contradicting bytes never fail, and nothing outside of the file is named."""
+    import struct
+
+    rng = random.Random(6)
+    whole = media.mux(bytes(rng.randrange(256) for _ in range(192 * 40)))
+    tried = [whole[:k] for k in range(0, 900, 7)]
+    for _ in range(1500):
+        b = bytearray(whole)
+        for _ in range(rng.randint(1, 6)):
+            at = rng.randrange(700)
+            b[at : at + rng.choice([1, 4])] = bytes(rng.choice([0, 255, rng.randrange(256)]) for _ in range(rng.choice([1, 4])))
+        tried.append(bytes(b))
+    deep = b""
+    for _ in range(3000):
+        deep = struct.pack(">I4s", 8 + len(deep), b"moov") + deep
+    huge = whole.replace(struct.pack(">I4sIII", 20, b"stsz", 0, 192, 40), struct.pack(">I4sIII", 20, b"stsz", 0, 1, (1 << 31) - 1))
+    assert huge != whole
+    for raw in (*tried, deep, huge):
+        for t in media.probe(raw):
+            assert len(t["offsets"]) == len(t["sizes"]) and all(0 <= t["offsets"]) and all(t["offsets"] + t["sizes"] <= len(raw)) and all(t["keys"] < len(t["offsets"]))
+            media.samples(raw, t)
+    df = media.media_features(spark.createDataFrame([(1, whole, "x", 2.0)], "k int, media binary, feature string, duration double"))
+    assert df.select("feature", "duration").first()["feature"].startswith("codec=raw") and df.columns.count("feature") == 1
+
+
+def test_media_fragments():
+    """Samples of movie fragments are found where their run says."""
+    import struct
+
+    track = media._box(b"trak", media._full(b"tkhd", struct.pack(">IIIII", 0, 0, 7, 0, 0)), media._box(b"mdia", media._full(b"mdhd", struct.pack(">IIIIHH", 0, 0, 1000, 0, 0, 0))))
+    head = media._box(b"ftyp", b"isom", bytes(4)) + media._box(b"moov", track, media._box(b"mvex", media._full(b"trex", struct.pack(">IIIII", 7, 1, 0, 0, 0))))
+    run = lambda offset: media._full(b"trun", struct.pack(">Ii", 3, offset), struct.pack(">III", 4, 5, 6), flags=0x201)
+    part = lambda offset: media._box(b"moof", media._box(b"traf", media._full(b"tfhd", struct.pack(">I", 7)), run(offset)))
+    size = len(part(0))
+    raw = head + part(size + 8) + media._box(b"mdat", b"aaaabbbbbcccccc")
+    (t,) = media.probe(raw)
+    assert media.samples(raw, t) == b"aaaabbbbbcccccc" and t["sizes"].tolist() == [4, 5, 6] and t["keys"].tolist() == [0]
+
+
 def test_token_output(docs, rows, nothing, odd, spark):
     path = P.path("byte_bpe_50k.json")
     tok = Tokenizer.from_file(path)
@@ -191,8 +231,13 @@ def test_bpe(docs, rows, nothing, odd):
     assert all(bytes(r["decoded"]) == (r["text"] or "").encode() and r["ids"] == enc.encode_ordinary(r["text"] or "") for r in coded.collect())
     assert bpe.round_trip(nothing, path, P.PATTERN).count() == 0 and bpe.round_trip(odd, path, P.PATTERN).count() == 6
     pairs = bpe.byte_pairs(path, P.PATTERN)
-    for word in (b"=" * 300, b"abcabd" * 40, "äöü".encode() * 30):
-        assert pairs.heap(word) == enc._encode_single_piece(word) if hasattr(enc, "_encode_single_piece") else enc.encode_ordinary(word.decode())
+    rng = random.Random(2)
+    words = [b"=" * 300, b"abcabd" * 40, "äöü".encode() * 30, b"x" * 5000, bytes(rng.choice(b"aab") for _ in range(600)), bytes(rng.choice(b"aeinrst") for _ in range(600)), b""]
+    assert pairs.contract(words) == [enc._encode_single_piece(w) if w else [] for w in words]  # words of any length take the same queries
+    ids = np.array([t for w in words for t in enc._encode_single_piece(w or b"-")], np.uint32)
+    assert b"".join(pairs.decode(ids, np.array([0, 5, 5, len(ids)]))) == b"".join(w or b"-" for w in words)
+    with pytest.raises(Exception, match="ids without a token"):
+        bpe.decode_ids(docs.limit(1).selectExpr("array(1, 9999999) as ids"), path, P.PATTERN).collect()
 
 
 def brute_repeats(rows, window=13):
@@ -254,9 +299,9 @@ def test_jaccard(docs, rows, nothing, odd):
 
 
 def test_jaccard_long_lists(spark, monkeypatch):
-    """Groups of near copies far larger than a short list, in several blocks."""
+    """Groups of near copies far larger than a short list, compared in several tasks."""
     monkeypatch.setattr(jaccard, "LONG", 4)
-    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    monkeypatch.setattr(jaccard, "TASK", 16)
     rng = random.Random(3)
     rows = []
     for g, size in enumerate((60, 100, 258)):  # the last lies where wide bitmaps double
@@ -273,7 +318,7 @@ def test_jaccard_long_lists(spark, monkeypatch):
 def test_jaccard_links(spark, monkeypatch):
     """Every link is counted, inside components too: short and long lists, near copies, copies, texts without words."""
     monkeypatch.setattr(jaccard, "LONG", 4)
-    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    monkeypatch.setattr(jaccard, "TASK", 16)
     rng = random.Random(4)
     words = [f"w{k}" for k in range(90)]
     body = [rng.choice(words) for _ in range(120)]
@@ -302,6 +347,41 @@ def test_exact(docs, rows, nothing, odd):
     assert all(r["keep_id"] == min(groups[fold(t)]) for i, t in rows for r in [small[i]])
 
 
+def test_exact_rows_of_one_id(spark):
+    """Another text of an id whose row goes stays; null ids go where their group has an id; the least id of all may be kept."""
+    df = spark.createDataFrame([(5, "aaa"), (5, "bbb"), (9, "bbb"), (None, "bbb"), (None, "ccc"), (-(1 << 63), "ddd"), (3, "DDD"), (None, None), (7, "")], "doc_id long, text string")
+    left = sorted(map(str, exact_dedup.drop_exact_duplicates(df).collect()))
+    assert left == sorted(map(str, df.where("text in ('aaa', 'ccc', 'DDD') or doc_id in (7, 9)").collect()))
+    least = {r["text_sha256"]: r for r in exact_dedup.exact_duplicates(df.where("doc_id < 4"), keep="smallest").collect()}
+    assert [r["keep_id"] for r in least.values()] == [-(1 << 63)]
+
+
+def test_one_of_each(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    df = spark.createDataFrame([(3, text, 1, 2), (5, text, 1, 2), (5, "quite other text of five words", 1, 2), (None, text + " x", 1, 2), (None, "alone it stays as it is", 1, 2), (8, None, 1, 2), (9, "", 1, 2)], "doc_id long, text string, row int, mark int")
+    left = jaccard.keep_one_of_each(df, 5, 80)
+    assert left.columns == df.columns
+    assert sorted(map(str, left.collect())) == sorted(map(str, df.where("doc_id = 3 or text like 'quite%' or text like 'alone%' or doc_id >= 8").collect()))
+
+
+def test_list_pairs_skip_nothing():
+    """Blocks that are skipped hold no pair that sizes and positions allow."""
+    rng = random.Random(8)
+    rows = []
+    for g in range(30):
+        rows += sorted((g, rng.randint(0, 40), k, rng.randint(41, 90)) for k in range(rng.randint(1, 60)))
+    gram, at, row, n = (np.array(x, np.int64) for x in zip(*rows))
+    i, j = jaccard.list_pairs(gram, row, n, at, 85)
+    want = set()
+    for x in range(len(rows)):
+        for y in range(x + 1, len(rows)):
+            a, b = sorted((int(n[x]), int(n[y])))
+            most = min(at[x], at[y]) + 1 + min(n[x] - at[x] - 1, n[y] - at[y] - 1)
+            if gram[x] == gram[y] and row[x] != row[y] and 100 * a >= 85 * b and most >= -(-85 * (a + b) // 185):
+                want.add((x, y))
+    assert set(zip(i.tolist(), j.tolist())) == want and len(want) == len(i) > 500
+
+
 def test_licenses(docs, rows, nothing, odd):
     got = by_id(licenses.scan_licenses(docs))
     for i, t in rows:
@@ -354,3 +434,12 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert all(got[i] == 0 for i in range(61)) and got[101] == 100 and got[250] == 200
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_rounds_never_end_silently(spark):
+    from gridloom.llm.components import connected_components
+
+    edges = spark.range(9).selectExpr("id as u", "id + 1 as v")
+    with pytest.raises(RuntimeError):
+        connected_components(edges, most=1)
+    assert connected_components(edges).where("component = 0").count() == 10
