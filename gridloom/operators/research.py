@@ -8,6 +8,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import string
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -203,27 +204,26 @@ def page(df: DataFrame, sort: str, descending: bool | None = None, number: int =
 
 # -- sentences: small results on the driver ----------------------------------------------------------------------------------
 
-_PLACE = re.compile(r"\{(\w+)(?:([|?])([^{}]*))?\}")
+
+def _word(place: str, context: dict, numbers: dict) -> str | None:
+    """What stands for one place of a template."""
+    name = re.match(r"\w*", place)[0]
+    value, choice = context.get(name), place[len(name) :]
+    if value is None or not choice:
+        return None if value is None else str(value)
+    singular, _, plural = choice[1:].partition("|")
+    noun = singular if numbers.get(name) == 1 else plural
+    return noun if choice[0] == "?" else f"{value} {noun}"
 
 
 def render(template: str, context: dict, numbers: dict | None = None) -> str | None:
     """A sentence with {x}, {n|one|many} (the number and its noun) and {n?one|many} (the noun alone). Null if anything is missing: an incomplete sentence is never shown."""
-    numbers, missing = numbers or context, False
-
-    def fill(m: re.Match) -> str:
-        nonlocal missing
-        name, kind, forms = m.groups()
-        if context.get(name) is None:
-            missing = True
-            return ""
-        if not kind:
-            return str(context[name])
-        one, _, many = forms.partition("|")
-        word = one if numbers.get(name) == 1 else many
-        return f"{context[name]} {word}" if kind == "|" else word
-
-    said = _PLACE.sub(fill, template)
-    return None if missing else said
+    said: list[str] = []
+    for literal, place, _, _ in string.Formatter().parse(template):
+        said.append(literal)
+        if place is not None:
+            said.append(_word(place, context, numbers or context))
+    return None if None in said else "".join(said)
 
 
 def narrate(sentences: list[dict], context: dict, numbers: dict | None = None) -> list[str]:

@@ -1,4 +1,4 @@
-"""The formula language: tokens, a precedence-climbing parser, canonical (R1C1) and A1 text.
+"""The formula language: tokens, a parser with a stack of brackets, canonical (R1C1) and A1 text.
 
 References are held relative to the cell that owns the formula, so copies of one formula are equal trees.
 """
@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, fields, is_dataclass
+from dataclasses import dataclass, field, fields, is_dataclass
 
 from ..functions.values import ALIASES, ERRORS
 
@@ -151,111 +151,122 @@ def tokens(formula: str) -> list[tuple[str, str]]:
     return out
 
 
-def _axis(letters_or_digits: str, home: int, is_col: bool) -> Axis:
-    fixed, body = letters_or_digits.startswith("$"), letters_or_digits.lstrip("$")
-    n = column_number(body) if is_col else int(body)
-    return Axis(fixed, n if fixed else n - home)
+_CORNER = re.compile(r"(?:(\$?)([A-Za-z]+))?(?:(\$?)(\d+))?")
 
 
 def reference(token: str, row: int, col: int, own_sheet: str | None = None):
-    """A reference token as Cell or Range; the own sheet's prefix is dropped."""
-    sheet = None
-    if "!" in token:
-        sheet, token = token.rsplit("!", 1)
-        sheet = sheet[1:-1].replace("''", "'") if sheet.startswith("'") else sheet
-        sheet = None if sheet == own_sheet else sheet
-    ends = []
-    for part in token.split(":"):
-        letters, digits = re.fullmatch(r"(\$?[A-Za-z]+)?(\$?\d+)?", part).groups()
-        ends.append((_axis(digits, row, False) if digits else None, _axis(letters, col, True) if letters else None))
-    if len(ends) == 1:
-        return Cell(sheet, *ends[0])
-    return Range(sheet, ends[0][0], ends[0][1], ends[1][0], ends[1][1])
-
-
-#: Binding powers: comparison, joining, sums, products, powers. All associate to the left.
+    """A reference token as Cell or Range; the own sheet's prefix is dropped. An end that names no row (or column) leaves it open."""
+    prefix, _, body = token.rpartition("!")
+    sheet = prefix[1:-1].replace("''", "'") if prefix.startswith("'") else prefix
+    places = []
+    for end in body.split(":"):
+        pin_col, letters, pin_row, digits = _CORNER.fullmatch(end).groups()
+        for pin, n, home in ((pin_row, digits and int(digits), row), (pin_col, letters and column_number(letters), col)):
+            places.append(None if n is None else Axis(bool(pin), n if pin else n - home))
+    return (Cell if len(places) == 2 else Range)(None if sheet in ("", own_sheet) else sheet, *places)
+
+
+#: Binding powers: comparison, joining, sums, products, powers, signs. All but signs associate to the left.
 _POWER = {"=": 1, "<>": 1, "<": 1, ">": 1, "<=": 1, ">=": 1, "&": 2, "+": 3, "-": 3, "*": 4, "/": 4, "^": 5}
-
-
-class _Parser:
-    def __init__(self, formula: str, row: int, col: int, sheet: str | None):
-        self.items, self.at, self.home = tokens(formula.removeprefix("=")), 0, (row, col, sheet)
-        self.formula = formula
-
-    def peek(self) -> str:
-        return self.items[self.at][1] if self.at < len(self.items) else ""
-
-    def take(self, want: str | None = None) -> tuple[str, str]:
-        if self.at >= len(self.items) or want and self.peek() != want:
-            raise FormulaError(f"expected {want or 'more'} in {self.formula!r}")
-        self.at += 1
-        return self.items[self.at - 1]
-
-    def expression(self, least: int = 0):
-        left = self.prefix()
-        while self.peek() in _POWER and _POWER[self.peek()] > least and self.items[self.at][0] == "op":
-            op = self.take()[1]
-            left = Binary(op, left, self.expression(_POWER[op]))
-        return left
-
-    def prefix(self):
-        if self.peek() in "+-" and self.peek() and self.items[self.at][0] == "op":
-            return Unary(self.take()[1], self.prefix())  # binds tighter than ^
-        out = self.atom()
-        while self.peek() == "%":
-            self.take()
-            out = Unary("%", out)
-        return out
-
-    def atom(self):
-        kind, word = self.take()
-        if kind == "number":
-            return Number(float(word))
-        if kind == "text":
-            return Text(word[1:-1].replace('""', '"'))
-        if kind == "error":
-            return ErrorValue(ALIASES.get(word, word))
-        if kind == "ref":
-            return reference(word, *self.home)
-        if kind == "foreign":
-            return Foreign(word)
-        if kind == "name":
-            return Bool(word.upper() == "TRUE") if word.upper() in ("TRUE", "FALSE") else Name(word)
-        if kind == "call":
-            args = []
-            if self.peek() != ")":
-                args.append(self.argument())
-                while self.peek() == ",":
-                    self.take()
-                    args.append(self.argument())
-            self.take(")")
-            return Call(word[:-1].upper().removeprefix("_XLFN."), tuple(args))
-        if word == "(":
-            inner = self.expression()
-            self.take(")")
-            return inner
-        if word == "{":
-            rows, row = [], [self.expression()]
-            while self.peek() in (",", ";"):
-                if self.take()[1] == ";":
-                    rows.append(tuple(row))
-                    row = []
-                row.append(self.expression())
-            self.take("}")
-            return Array((*rows, tuple(row)))
-        raise FormulaError(f"unexpected {word!r} in {self.formula!r}")
-
-    def argument(self):
-        return Empty() if self.peek() in (",", ")") else self.expression()
+_SIGN = 6
+
+
+@dataclass
+class _Level:
+    """What stands between two brackets: the bracket (or the call's name), finished rows and arguments, and the operands and operators of the expression that is being read."""
+
+    opener: str
+    rows: list = field(default_factory=list)
+    row: list = field(default_factory=list)
+    operands: list = field(default_factory=list)
+    operators: list = field(default_factory=list)  # (power, word)
+    wanted: bool = True  # an operand comes next
+
+    def put(self, tree) -> None:
+        self.operands.append(tree)
+        self.wanted = False
+
+    def settle(self, power: int) -> None:
+        """Applies the waiting operators that bind at least so tightly."""
+        while self.operators and self.operators[-1][0] >= power:
+            strength, word = self.operators.pop()
+            last = self.operands.pop()
+            self.operands.append(Unary(word, last) if strength == _SIGN else Binary(word, self.operands.pop(), last))
+
+    def end_argument(self) -> None:
+        if self.wanted:
+            if self.operators or not self.opener.endswith("("):
+                raise FormulaError("an operand is missing")
+            self.put(Empty())
+        self.settle(0)
+        self.row.append(self.operands.pop())
+        self.wanted = True
+
+
+def _leaf(kind: str, word: str, row: int, col: int, sheet: str | None):
+    if kind == "name":
+        return Bool(word.upper() == "TRUE") if word.upper() in ("TRUE", "FALSE") else Name(word)
+    if kind == "ref":
+        return reference(word, row, col, sheet)
+    made = {"number": lambda: Number(float(word)), "text": lambda: Text(word[1:-1].replace('""', '"')), "error": lambda: ErrorValue(ALIASES.get(word, word)), "foreign": lambda: Foreign(word)}
+    return made[kind]()
+
+
+def _close(level: _Level, word: str):
+    """The tree of a finished bracket."""
+    if word == ")" and level.opener not in ("", "{"):
+        if level.row or not level.wanted or level.operators:
+            level.end_argument()
+        if level.opener != "(":
+            return Call(level.opener[:-1].upper().removeprefix("_XLFN."), tuple(level.row))
+        if len(level.row) == 1 and not isinstance(level.row[0], Empty):
+            return level.row[0]
+    elif word == "}" and level.opener == "{":
+        level.end_argument()
+        return Array((*level.rows, tuple(level.row)))
+    raise FormulaError(f"{word!r} closes nothing")
 
 
 def parse(formula: str, row: int = 1, col: int = 1, sheet: str | None = None):
-    """The tree of a formula owned by the cell at (row, col)."""
-    p = _Parser(formula, row, col, sheet)
-    tree = p.expression()
-    if p.at < len(p.items):
-        raise FormulaError(f"unexpected {p.peek()!r} in {formula!r}")
-    return tree
+    """The tree of a formula owned by the cell at (row, col): one pass with a stack of brackets, each with stacks of operands and operators."""
+    levels = [_Level("")]
+    try:
+        for kind, word in tokens(formula.removeprefix("=")):
+            now = levels[-1]
+            if kind == "call" or word in ("(", "{") and kind == "op":
+                if not now.wanted:
+                    raise FormulaError(f"{word!r} follows an operand")
+                levels.append(_Level(word))
+            elif kind != "op":
+                if not now.wanted:
+                    raise FormulaError(f"{word!r} follows an operand")
+                now.put(_leaf(kind, word, row, col, sheet))
+            elif word in (")", "}"):
+                tree = _close(levels.pop(), word)
+                levels[-1].put(tree)
+            elif word in (",", ";"):
+                if now.opener in ("", "(") or word == ";" and now.opener != "{":
+                    raise FormulaError(f"{word!r} outside of a list")
+                now.end_argument()
+                if word == ";":
+                    now.rows.append(tuple(now.row))
+                    now.row = []
+            elif now.wanted:
+                if word not in "+-":
+                    raise FormulaError(f"{word!r} needs an operand before it")
+                now.operators.append((_SIGN, word))
+            elif word == "%":
+                now.operands.append(Unary("%", now.operands.pop()))  # binds tightest
+            else:
+                now.settle(_POWER[word])
+                now.operators.append((_POWER[word], word))
+                now.wanted = True
+        if len(levels) > 1:
+            raise FormulaError(f"{levels[-1].opener!r} isn't closed")
+        levels[0].end_argument()
+    except FormulaError as e:
+        raise FormulaError(f"{e} in {formula!r}") from None
+    return levels[0].row[0]
 
 
 def walk(tree) -> Iterator:

@@ -6,7 +6,7 @@ import random
 import duckdb
 import pytest
 from pyspark.sql import functions as F
-from workbooks import GOLDEN, SEMANTICS, cells_of, logic_workbook, put, same
+from workbooks import RULES, cells_of, known, put, same, shop
 
 from gridloom.functions import scalar as S
 from gridloom.functions.criteria import parse_criterion
@@ -25,10 +25,13 @@ def values_of(df):
     return {(r["sheet"], r["row"], r["col"]): RR.to_python(*r["c"]) for r in df.collect()}
 
 
+NAMES = {"Vat": "Rates!$B$2"}
+
+
 @pytest.fixture(scope="module")
 def book(spark):
-    cells = cells_of(spark, logic_workbook()).coalesce(2).cache()
-    return cells, derive(cells, {"Threshold": "Inputs!$B$2"})
+    cells = cells_of(spark, shop()).coalesce(2).cache()
+    return cells, derive(cells, NAMES)
 
 
 @pytest.fixture(scope="module")
@@ -61,11 +64,9 @@ def test_numbers_and_criteria():
     assert matches(None, c("<>x")) and matches(5.0, c(">4")) and not matches("5", c(">4")) and matches(True, c("TRUE")) and not matches(1.0, c(True)) and matches(Err("#N/A"), c("#N/A"))
 
 
-def test_semantics_one_cell_at_a_time():
-    book = {k: v for k, v in logic_workbook().items()}
-    names = {"threshold": L.parse("Inputs!$B$2")}
+def test_rules_one_cell_at_a_time():
+    book, names, done = shop(), {"vat": L.parse("Rates!$B$2")}, {}
     used = {s: (max(r for t, r, _ in book if t == s), max(c for t, _, c in book if t == s)) for s in {k[0] for k in book}}
-    done = {}
 
     def get(sheet, row, col):
         v = book.get((sheet, row, col))
@@ -75,35 +76,34 @@ def test_semantics_one_cell_at_a_time():
             return done[sheet, row, col]
         return v
 
-    for i, (text, want) in enumerate(SEMANTICS, 1):
-        assert same(get("Semantics", i, 3), want), (text, want)
+    assert {text: get("Rules", i, 3) for i, (text, want) in enumerate(RULES.items(), 1) if not same(get("Rules", i, 3), want)} == {}
 
 
 def test_model(book):
     cells, m = book
     s = m.summary()
     assert s["cycles"] == 0 and not s["unsupported"] and not m.cycles
-    assert m.block_at("Series", 10, 3).recursion == "top_to_bottom" and m.block_at("Series", 10, 4).recursion == "none"
-    assert m.roles["Lookup"] == "reference" and m.roles["Outputs"] == "output"
-    assert any(k == "condition" and "Low" in words for k, words in rules(m.block_at("Series", 5, 4)))
+    assert m.block_at("Ledger", 10, 3).recursion == "top_to_bottom" and m.block_at("Ledger", 10, 4).recursion == "none"
+    assert m.roles["Codes"] == "reference" and m.roles["Totals"] == "output"
+    assert any(k == "condition" and "small" in words for k, words in rules(m.block_at("Ledger", 5, 4)))
     place = {b: i for i, b in enumerate(m.order)}
     assert all(place[a] < place[b] for a, b in m.edges)
-    assert {r["function"]: r["formulas"] for r in function_inventory(cells).collect()}["VLOOKUP"] == 21
-    assert scope_closure(cells, ["Outputs"]) == {"Outputs", "Series", "Inputs", "Lookup"}
+    assert {r["function"]: r["formulas"] for r in function_inventory(cells).collect()}["VLOOKUP"] == 26
+    assert scope_closure(cells, ["Totals"]) == {"Totals", "Ledger", "Rates", "Codes"}
 
 
 def test_full_run(baseline):
     got = values_of(baseline)
-    assert {k: (got.get(k), v) for k, v in GOLDEN.items() if not same(got.get(k), v)} == {}
+    assert {k: (got.get(k), v) for k, v in known().items() if not same(got.get(k), v)} == {}
 
 
 def test_compiled_blocks_equal_single_cells(spark):
     """Every block as a job of its own, by joins, aggregates and windows."""
-    part = {k: v for k, v in logic_workbook(20).items() if k[0] in ("Inputs", "Lookup") or k[0] == "Outputs" and k[1] == 1 or k[0] == "Series" and k[2] not in (6, 7)}
+    part = {k: v for k, v in shop(20).items() if k[0] in ("Rates", "Codes") or k[0] == "Totals" and k[1] == 1 or k[0] == "Ledger" and k[2] not in (6, 7)}
     cells = cells_of(spark, part).coalesce(2)
     m = derive(cells)
-    got = values_of(RR.run(cells, m, small=0))
-    assert {k: (v, GOLDEN[k]) for k, v in got.items() if not same(v, GOLDEN[k])} == {} and len(got) == 121
+    got, want = values_of(RR.run(cells, m, small=0)), known(20)
+    assert {k: (v, want[k]) for k, v in got.items() if not same(v, want[k])} == {} and len(got) == 121
 
 
 @pytest.mark.parametrize("text,want", [
@@ -125,14 +125,15 @@ def test_compiled_functions(spark, text, want):
 
 def test_what_if(book, baseline):
     cells, m = book
-    hit = RR.affected(m, [("Inputs", 3, 2)])
-    assert {m.blocks[i].rect.a1() for i in hit} == {"Series!G2:G21"}
-    got = values_of(RR.run(cells, m, {"Inputs!B3": 150.0}, baseline))
-    assert set(got) == {("Series", r, 7) for r in range(2, 22)} and got["Series", 6, 7] is False and got["Series", 21, 7] is True
-    named = values_of(RR.run(cells, m, {"Threshold": 0.5}, baseline))
-    assert named == {("Semantics", 28, 3): 5.0}
-    assert values_of(RR.full_values(baseline, RR.run(cells, m, {"Threshold": 0.5}, baseline)))["Semantics", 28, 3] == 5.0
-    for bad in ("Series!C5", "Nowhere!A1", "nothing"):
+    hit = RR.affected(m, [("Rates", 3, 2)])
+    assert {m.blocks[i].rect.a1() for i in hit} == {"Ledger!G2:G25"}
+    got = values_of(RR.run(cells, m, {"Rates!B3": 20.0}, baseline))
+    assert got == {("Ledger", r, 7): shop()["Ledger", r, 2] < 20 for r in range(2, 26)} and set(got.values()) == {True, False}
+    place = ("Rules", list(RULES).index("=Vat*50") + 1, 3)
+    named = values_of(RR.run(cells, m, {"Vat": 0.5}, baseline))
+    assert named == {place: 25.0}
+    assert values_of(RR.full_values(baseline, RR.run(cells, m, {"Vat": 0.5}, baseline)))[place] == 25.0
+    for bad in ("Ledger!C5", "Nowhere!A1", "nothing"):
         with pytest.raises(RR.RunRefused):
             RR.parse_override(bad, m)
 
@@ -150,20 +151,20 @@ def test_cycles_and_unknown_functions(spark):
 
 def test_lineage(book, baseline):
     cells, m = book
-    got = RR.lineage(baseline, cells, m, "Series!D6")
-    assert got["formula"].startswith("=IF(B6<=120") and got["value"] == got["stored"] == "Mid"
-    assert [d[3] for d in got["decisions"]] == [False, True]
-    assert "Series!E2:E21" in RR.dependents(m, "Series!D6")
+    got = RR.lineage(baseline, cells, m, "Ledger!D3")  # 79
+    assert got["formula"].startswith("=IF(B3<30") and got["value"] == got["stored"] == "large"
+    assert [d[3] for d in got["decisions"]] == [False, False]
+    assert "Ledger!E2:E25" in RR.dependents(m, "Ledger!D3")
 
 
 def test_differences(spark, book):
     cells, m = book
-    changed = logic_workbook(threshold=130)
-    put(changed, "Inputs!B3", 99.0)
+    changed = shop(small=33)
+    put(changed, "Rates!B3", 51.0)
     new = cells_of(spark, changed).coalesce(2)
-    report = D.compare(cells, new, m, derive(new, {"Threshold": "Inputs!$B$3"}))
-    assert report["data"] == {"changed": 1} and report["structure"]["names"]["threshold"] == ("Inputs!$B$2", "Inputs!$B$3")
-    assert any(x["sheet"] == "Series" and x["column"] == "D" and "120 became 130" in x["words"] and x["rows"] == (2, 21) for x in report["logic"])
+    report = D.compare(cells, new, m, derive(new, {"Vat": "Rates!$B$3"}))
+    assert report["data"] == {"changed": 1} and report["structure"]["names"]["vat"] == ("Rates!$B$2", "Rates!$B$3")
+    assert any(x["sheet"] == "Ledger" and x["column"] == "D" and "30 became 33" in x["words"] and x["rows"] == (2, 25) for x in report["logic"])
     assert report["rules_added"] and report["headline"].endswith("1 input change")
 
 
@@ -201,24 +202,24 @@ def test_workbook_files(spark, tmp_path):
 def test_validation(spark, book, baseline):
     cells, _ = book
     computed = baseline
-    bump = F.when((F.col("sheet") == "Series") & (F.col("row") == 21) & (F.col("col") == 3), F.struct(F.lit(1).cast("tinyint").alias("k"), (F.col("c.n") + 1).alias("n"), F.col("c.s").alias("s"))).otherwise(F.col("c"))
+    bump = F.when((F.col("sheet") == "Ledger") & (F.col("row") == 21) & (F.col("col") == 3), F.struct(F.lit(1).cast("tinyint").alias("k"), (F.col("c.n") + 1).alias("n"), F.col("c.s").alias("s"))).otherwise(F.col("c"))
     cached = computed.withColumn("c", bump)
     counts, bad = Q.reconcile(computed, cached)
-    assert {(r["sheet"], r["class"]): r["n"] for r in counts.collect()}["Series", "semantics"] == 1 and bad.count() == 1
+    assert {(r["sheet"], r["class"]): r["n"] for r in counts.collect()}["Ledger", "semantics"] == 1 and bad.count() == 1
     assert Q.status({"match": 10}) == "passed" and Q.status({"match": 10, "semantics": 1}) == "failed" and Q.status({"match": 5000, "precision": 1}) == "passed_with_warnings" and Q.status({}) == "failed"
     blocks = spark.createDataFrame([("S", 2, 2, 2, 29, "a"), ("S", 2, 2, 30, 30, "b"), ("S", 2, 2, 31, 60, "a")], "sheet string, c1 int, c2 int, r1 int, r2 int, template string")
     assert [r["r1"] for r in Q.fragments(blocks).collect()] == [30]
 
 
 def test_pivot(spark):
-    data = [("Alpha One", "Large", "Direct", 1200.0), ("Alpha One - Reg", "Large", "Regular", 800.0), ("Beta One", "Large", "Direct", 400.0), ("Gamma One", "Small", "Direct", 250.0), ("Gamma One - Reg", "Small", "Regular", 150.0), ("Delta One", "Small", "Direct", 50.0), ("Epsilon One", "Mid", "Direct", 900.0), ("Zeta One", "Mid", "Regular", 300.0)]
-    df = spark.createDataFrame(data, "Name string, Group string, Plan string, Corpus double")
-    p = A.pivot_table(df, ["Group"], [("average", "Corpus", "mean"), ("count", "Name", "n")], filters={"Plan": ["Direct"]})
-    got = {(r["Group"], r["level"]): (r["mean"], r["n"]) for r in p.collect()}
-    assert got["Large", 0] == (800, 2) and got["Small", 0] == (150, 2) and got[None, 1] == (560, 5)
-    x = {r["Group"]: r for r in A.pivot_table(df, ["Group"], [("max", "Corpus", "m"), ("countNums", "Corpus", "n")], "Plan", subtotals=False).collect()}
-    assert (x["Mid"]["Direct_m"], x["Mid"]["Direct_n"], x["Mid"]["Regular_m"], x["Mid"]["m"], x["Mid"]["n"]) == (900, 1, 300, 900, 2)
-    assert A.field_kind(df, "Corpus") == "number" and A.field_kind(df, "Name") == "text"
+    data = [("Birch", "tall", "north", 30.0), ("Birch mirror", "tall", "south", 14.0), ("Cedar", "tall", "north", 22.0), ("Daisy", "low", "north", 3.0), ("Daisy mirror", "low", "south", 5.0), ("Fern", "low", "north", 1.0), ("Gorse", "middle", "north", 9.0), ("Hazel", "middle", "south", 8.0)]
+    df = spark.createDataFrame(data, "plant string, height string, side string, age double")
+    p = A.pivot_table(df, ["height"], [("average", "age", "mean"), ("count", "plant", "n")], filters={"side": ["north"]})
+    got = {(r["height"], r["level"]): (r["mean"], r["n"]) for r in p.collect()}
+    assert got == {("tall", 0): (26, 2), ("low", 0): (2, 2), ("middle", 0): (9, 1), (None, 1): (13, 5)}
+    x = {r["height"]: r for r in A.pivot_table(df, ["height"], [("max", "age", "m"), ("countNums", "age", "n")], "side", subtotals=False).collect()}
+    assert (x["middle"]["north_m"], x["middle"]["north_n"], x["middle"]["south_m"], x["middle"]["m"], x["middle"]["n"]) == (9, 1, 8, 9, 2)
+    assert A.field_kind(df, "age") == "number" and A.field_kind(df, "plant") == "text"
 
 
 def test_words():
@@ -301,7 +302,6 @@ def test_crosstab_refuses_what_it_cannot_show(spark):
 
 
 def test_rounds_never_end_silently(spark):
-    from gridloom.llm.components import connected_components
     from gridloom.operators import joins as J
     from gridloom.queries import _checkpoints
 
@@ -311,7 +311,3 @@ def test_rounds_never_end_silently(spark):
     with pytest.raises(RuntimeError):
         J.reachable(chain, start, most=3)
     assert J.reachable(chain, start).count() == 10
-    edges = chain.selectExpr("source as u", "target as v")
-    with pytest.raises(RuntimeError):
-        connected_components(edges, most=1)
-    assert connected_components(edges).where("component = 0").count() == 10
