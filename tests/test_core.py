@@ -270,7 +270,7 @@ def test_graph_queries_see_whole_tables(spark):
     con, d = duckdb.connect(), "/root/testdata/sf0.01"
     for table in ("customer", "part", "lineitem"):
         con.sql(f"create view {table} as select * from '{d}/{table}.parquet'")
-    for name in ("interval_sweep_whole", "rect_overlap_edges_whole", "reachability_whole"):
+    for name in ("interval_sweep", "rect_overlap_edges", "reachability"):
         got = core.QUERIES[name](spark, d)
         want = con.sql(f"select {', '.join(got.columns)} from ({core.SQL[name]})").fetchall()
         assert len(want) > 500 and sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
