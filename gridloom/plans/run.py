@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-
 from functools import reduce
 
 import pandas as pd
@@ -182,8 +181,25 @@ def full_values(baseline: DataFrame, *runs: DataFrame) -> DataFrame:
     return overlay(baseline, *runs, keys=["sheet", "row", "col"], values=["c"]).drop("layer")
 
 
-def lineage(values: DataFrame, cells: DataFrame, model: Model, target: str, most: int = 50, sample: int = 8) -> dict:
-    """A cell explained: its formula, value, what it reads, the decisions of IF and IFERROR, and its rule. ``values``: computed cells."""
+def lineage(values: DataFrame, cells: DataFrame, model: Model, target: str, most: int = 50, sample: int = 8, depth: int = 1, tried: int = 40) -> dict:
+    """A cell explained: its formula, value, what it reads, the decisions of IF and IFERROR, and its rule. ``values``: computed cells. With more ``depth`` (6 at most), the formula cells that it
+    shows of what it reads are explained as well, under ``below``, each once, ``tried`` cells in all."""
+    top = _explain(values, cells, model, target, most, sample)
+    level, seen = [top], {target}
+    for _ in range(min(depth, 6) - 1):
+        following = []
+        for got in level:
+            for name in dict.fromkeys(n for r in got["reads"] for n, _ in r["values"]):
+                ref = L.parse(name)
+                if name not in seen and len(seen) < tried and model.block_at(ref.sheet, ref.row.at(1), ref.col.at(1)):
+                    seen.add(name)
+                    got.setdefault("below", []).append(_explain(values, cells, model, name, most, sample))
+                    following.append(got["below"][-1])
+        level = following
+    return top
+
+
+def _explain(values: DataFrame, cells: DataFrame, model: Model, target: str, most: int, sample: int) -> dict:
     ref = L.parse(target)
     sheet, row, col = ref.sheet, ref.row.at(1), ref.col.at(1)
     block = model.block_at(sheet, row, col)
@@ -204,7 +220,7 @@ def lineage(values: DataFrame, cells: DataFrame, model: Model, target: str, most
     for r in dict.fromkeys(L.references(block.tree)):
         f = footprint(r, home, model.used)
         inside = sorted((k, v) for k, v in known.items() if f and f.holds(*k))
-        reads.append({"reference": L.render(r, (row, col)), "cells": len(inside), "values": [(f"{s}!{L.column_letters(c)}{i}", v) for (s, i, c), v in inside[: most if len(inside) <= most else sample]]})
+        reads.append({"reference": L.render(r, (row, col)), "cells": len(inside), "values": [(L.render(L.Cell(s, L.Axis(False, i - 1), L.Axis(False, c - 1)), (1, 1)), v) for (s, i, c), v in inside[: most if len(inside) <= most else sample]]})
     said = rules(block)
     return {"cell": target, "formula": "=" + L.render(block.tree, (row, col)), "value": value, "stored": known.get((sheet, row, col)), "reads": reads, "decisions": ev.trace, "rule": said[0][1] if said else None}
 

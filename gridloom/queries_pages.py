@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .functions.values import ERROR, NUMBER, cell
+from .functions.values import BOOL, ERROR, NUMBER, TEXT, cell
+from .operators import aggregates as A
 from .operators import pages as P
 from .operators import structure as T
+from .operators.validation import reconcile
+from .plans import research_map as M
 from .queries import E1, EA, EB, _checkpoints, entities, query, r, t
 
 MOVED = f"WITH {EA}, {EB}, m AS (SELECT a.key, a.label, a.category, b.rank AS rank_from, a.rank AS rank_to, b.rank - a.rank AS delta, b.quartile::INTEGER AS quartile_from, a.quartile::INTEGER AS quartile_to FROM a JOIN b USING (key) WHERE a.rank <> b.rank)"
@@ -295,3 +299,94 @@ def changelog_view(spark, d):
     logic = t(spark, d, "part").where("p_size = 1").select(F.col("p_brand").alias("sheet"), F.col("p_name").alias("title"))
     data = t(spark, d, "customer").where("c_acctbal < -900").select(F.col("c_mktsegment").alias("sheet"), F.col("c_name").alias("title"))
     return T.changelog(("LOGIC", logic), ("DATA", data), ("STRUCTURAL", t(spark, d, "nation").select(F.col("n_name").alias("sheet"), F.lit("sheet added").alias("title"))))
+
+
+# -- entity tables from cells ------------------------------------------------------------------------------------------------
+
+
+def _book(spark, d):
+    """Cells of three sheets: Funds has a row per customer, Perf a row per order (every other name in capitals), Averages a row per nation."""
+    n = t(spark, d, "nation")
+    c = t(spark, d, "customer").join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"))  # nation has a row per country
+    text = lambda x: cell(TEXT, s=x)
+    number = lambda x: cell(NUMBER, n=x)
+    sheet = lambda df, name, row, cells: df.select(F.lit(name).alias("sheet"), row.cast("int").alias("row"), F.posexplode(F.array(*cells)).alias("col", "c")).withColumn("col", F.col("col") + 1)
+    k = F.col("c_custkey")
+    balance = F.when(k % 7 == 0, text(F.lit("--"))).when(k % 11 == 0, cell(BOOL, n=1.0)).otherwise(number(F.col("c_acctbal")))
+    funds = sheet(c, "Funds", k + 1, [text(F.concat(F.lit(" "), "c_name")), text(F.when(k % 9 != 0, F.concat(F.lit("The "), "c_name")).otherwise(" ")), text(F.col("n_name")), balance, text(F.when(k % 4 == 0, "out").otherwise("in")), number(k % 50)])
+    o = t(spark, d, "orders").join(t(spark, d, "customer"), F.col("o_custkey") == k)
+    month = F.when(F.col("o_orderkey") % 5 == 0, text(F.lit("n/a"))).otherwise(number(F.month("o_orderdate")))
+    perf = sheet(o, "Perf", F.col("o_orderkey"), [text(F.when(k % 2 == 0, F.upper("c_name")).otherwise(F.col("c_name"))), number(F.col("o_totalprice")), number(F.dayofmonth("o_orderdate")), month])
+    means = sheet(n, "Averages", F.col("n_nationkey") + 1, [text(F.col("n_name")), number(F.col("n_regionkey") * 2)])
+    return funds.unionByName(perf).unionByName(means)
+
+
+MAP = {
+    "entity": {"sheet": "Funds", "key": "A", "label": "B", "include": ["E", "in"], "universe": ["C", "CHINA"]},
+    "dimensions": {"country": {"column": "C"}},
+    "measures": {"balance": {"column": "D"}, "spent": {"sheet": "Perf", "key": "A", "column": "B"}, "nothing": {"sheet": "Lost", "key": "A", "column": "B"}},
+    "phases": {"sheet": "Perf", "key": "A", "groups": {"up": ["C"], "down": ["D"]}},
+    "stats": {"sheet": "Averages", "key": "A", "columns": ["B"]},
+}
+
+FIRST_ORDER = "p AS (SELECT o_custkey, arg_min(o_totalprice, o_orderkey) AS spent, arg_min(day(o_orderdate), o_orderkey) AS up, arg_min(CASE WHEN o_orderkey % 5 <> 0 THEN month(o_orderdate) ELSE -1 END, o_orderkey) AS down FROM orders GROUP BY 1)"
+
+
+@query(f"""WITH {FIRST_ORDER} SELECT c_name AS key, CASE WHEN c_custkey % 9 <> 0 THEN 'The ' || c_name ELSE c_name END AS label, (c_custkey + 1)::INTEGER AS row, n_name = 'CHINA' AS inside, n_name AS country, CASE WHEN c_custkey % 7 <> 0 AND c_custkey % 11 <> 0 THEN c_acctbal END AS balance, spent
+FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN p ON o_custkey = c_custkey WHERE c_custkey % 4 <> 0""")
+def research_table(spark, d):
+    cells = _book(spark, d)
+    return M.entity_frame(cells, M.resolve(MAP, cells)).drop("phases")
+
+
+@query(f"""WITH {FIRST_ORDER} SELECT c_name AS key, up::DOUBLE AS up, CASE WHEN down > 0 THEN down END::DOUBLE AS down FROM customer LEFT JOIN p ON o_custkey = c_custkey WHERE c_custkey % 4 <> 0""")
+def research_phases(spark, d):
+    cells = _book(spark, d)
+    return M.entity_frame(cells, M.resolve(MAP, cells)).select("key", F.col("phases")["up:C"].alias("up"), F.col("phases")["down:D"].alias("down"))
+
+
+@query('SELECT n_name AS category, (n_regionkey * 2)::DOUBLE AS "B" FROM nation')
+def research_stats(spark, d):
+    cells = _book(spark, d)
+    return M.stat_frame(cells, M.resolve(MAP, cells))
+
+
+@query("SELECT 'measures.nothing: no sheet ' || chr(39) || 'Lost' || chr(39) AS problem")
+def research_map_problems(spark, d):
+    found = M.resolve(MAP, _book(spark, d)).problems
+    return spark.createDataFrame([(p,) for p in found], "problem string")
+
+
+@query("SELECT c_custkey % 5 AS kind, count(CASE WHEN c_custkey % 5 IN (0, 4) THEN 1 END) AS numbers, count(CASE WHEN c_custkey % 5 IN (0, 1, 4) THEN 1 END) AS texts FROM customer GROUP BY 1")
+def cell_values(spark, d):
+    """Numbers, texts, blanks, bools, whole numbers."""
+    k = F.col("c_custkey") % 5
+    c = F.when(k == 0, cell(NUMBER, n=F.col("c_acctbal"))).when(k == 1, cell(TEXT, s=F.col("c_name"))).when(k == 2, cell(TEXT, s=F.lit("  "))).when(k == 3, cell(BOOL, n=1.0)).otherwise(cell(NUMBER, n=F.col("c_custkey")))
+    return t(spark, d, "customer").select(k.alias("kind"), c.alias("c")).groupBy("kind").agg(F.count(M.cell_number(F.col("c"))).alias("numbers"), F.count(M.cell_text(F.col("c"))).alias("texts"))
+
+
+@query("SELECT n_name AS country, count(*) AS n, round(avg(CASE WHEN c_custkey % 7 <> 0 AND c_custkey % 11 <> 0 THEN c_acctbal END), 2) AS mean FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey BETWEEN 2 AND 120 GROUP BY 1")
+def pivot_from_cells(spark, d):
+    """The area of rows 3 to 121 below a header row that repeats a name."""
+    head = spark.createDataFrame([("Funds", 2, c, x) for c, x in enumerate(["name", "name", "country", "balance"], 1)], "sheet string, row int, col int, x string").select("sheet", "row", "col", cell(TEXT, s=F.col("x")).alias("c"))
+    cells = _book(spark, d).where("sheet = 'Funds' and row > 2").unionByName(head)
+    frame = M.pivot_source(cells, "Funds!$A$2:$D$121")
+    return frame.groupBy("country").agg(F.count("name").alias("n"), r(F.avg(F.col("balance").try_cast("double")), 2).alias("mean"))
+
+
+@query("SELECT p_brand AS k, count(*) AS n, row_number() OVER (ORDER BY lower(p_brand)) AS place FROM part GROUP BY 1")
+def pivot_key_order(spark, d):
+    """Keys in the order of a pivot's rows; a row per key."""
+    p = A.pivot_table(t(spark, d, "part"), ["p_brand"], [("count", "p_partkey", "n")], subtotals=False)
+    return p.select(F.col("p_brand").alias("k"), "n", F.row_number().over(Window.orderBy(*A.key_order(F.col("p_brand")))).cast("long").alias("place"))
+
+
+@query("""WITH v AS (SELECT o_orderpriority AS sheet, o_orderkey AS row, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS computed, o_totalprice AS stored FROM orders), m AS (SELECT sheet, row FROM v WHERE computed <> stored ORDER BY sheet, row LIMIT 2000)
+SELECT sheet, row, (SELECT count(*) FROM v WHERE computed <> stored) > 2000 AS truncated FROM m""")
+def mismatch_cap(spark, d):
+    """The first 2,000 mismatches, and whether there are more."""
+    o = t(spark, d, "orders").select(F.col("o_orderpriority").alias("sheet"), F.col("o_orderkey").cast("int").alias("row"), F.lit(1).alias("col"), "o_totalprice", "o_orderkey")
+    computed = o.select("sheet", "row", "col", cell(NUMBER, n=F.col("o_totalprice") + F.when(F.col("o_orderkey") % 3 == 0, 1).otherwise(0)).alias("c"))
+    counts, worst = reconcile(computed, o.select("sheet", "row", "col", cell(NUMBER, n=F.col("o_totalprice")).alias("c")))
+    total = counts.where("class not in ('match', 'stale')").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    return worst.crossJoin(F.broadcast(total)).select("sheet", F.col("row").cast("long").alias("row"), (F.col("n") > 2000).alias("truncated"))  # one row
