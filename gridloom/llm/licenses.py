@@ -36,10 +36,26 @@ TEMPLATES = [
     ("unlicense", "free and unencumbered software released into the public domain", "unencumbered software released into the public domain"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose", "permission to use copy modify and or distribute"),
     ("reserved", "all rights reserved", "all rights reserved"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "permission notice shall be included"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "source code must retain"),
+    ("apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis", "unless required by applicable law"),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "free software foundation"),
+    ("gfdl", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license", "gnu free documentation license"),
+    ("cc-by-nc-sa", "licensed under cc by nc sa 4 0", "cc by nc sa"),
+    ("cc-by-nc-nd", "licensed under cc by nc nd 4 0", "cc by nc nd"),
+    ("cc-by-nd", "licensed under cc by nd 4 0", "cc by nd"),
+    ("zlib", "in no event will the authors be held liable for any damages arising from the use of this software", "authors be held liable"),
+    ("bsl-1.0", "distributed under the boost software license version 1 0", "boost software license"),
+    ("epl-2.0", "made available under the terms of the eclipse public license 2 0", "eclipse public license"),
+    ("cddl-1.0", "subject to the terms of the common development and distribution license", "common development"),
+    ("artistic-2.0", "licensed under the artistic license 2 0", "artistic license"),
+    ("ofl-1.1", "licensed under the sil open font license version 1 1", "open font license"),
+    ("eupl-1.2", "licensed under the european union public licence version 1 2", "european union public licence"),
+    ("proprietary", "this software is proprietary and confidential unauthorized copying is strictly prohibited", "unauthorized copying"),
 ]
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Words of every running text; they are no licence words unless a key phrase needs them.
-COMMON = {"the", "and", "of", "to", "in", "or", "a", "is", "for", "any", "this", "with", "are", "into", "without"}
+COMMON = {"the", "and", "of", "to", "in", "or", "a", "an", "as", "at", "be", "by", "can", "for", "from", "it", "on", "is", "any", "all", "no", "this", "will", "with", "are", "into", "use", "without", "you"}
 
 
 def _index(spark) -> tuple[DataFrame, list[str]]:

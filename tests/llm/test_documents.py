@@ -414,6 +414,53 @@ def test_licenses_side_by_side(spark):
     assert got[3]["labels"] == "apache-2.0" and got[len(texts) + 40]["score"] == 0
 
 
+def brute_labels(texts, rare=8, agree=0.6):
+    """Labels and scores by trying every template at every place of every text."""
+    words = [[w.decode() for w in re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").encode().lower())] for t in texts]
+    df = collections.Counter(w for ws in words for w in set(ws))
+    idf = lambda w: np.log((len(texts) + 1) / (df[w] + 1))
+    made = []
+    for label, notice, key in licenses.TEMPLATES:
+        n, k = notice.split(), key.split()
+        at = next(i for i in range(len(n)) if n[i : i + len(k)] == k)
+        kept = [(i, w, at <= i < at + len(k)) for i, w in enumerate(n) if w not in licenses.COMMON or at <= i < at + len(k)]
+        order = sorted((x for x in kept if df[x[1]]), key=lambda x: (-idf(x[1]), x[1], x[0]))
+        anchors = {x[0] for x in order[:rare]} | {x[0] for x in [x for x in order if x[2]][:1]}
+        made.append((label, kept, anchors))
+    out = []
+    for ws in words:
+        found, best = set(), 0.0
+        for label, kept, anchors in made:
+            for start in range(-30, len(ws)):
+                hit = [x for x in kept if 0 <= start + x[0] < len(ws) and ws[start + x[0]] == x[1]]
+                share = len(hit) / len(kept)
+                if share >= agree and all(x in hit for x in kept if x[2]) and any(x[0] in anchors for x in hit):
+                    found, best = found | {label}, max(best, share)
+        base = {label for p, label in licenses.BASE.items() if any(ws[k : k + len(p.split())] == p.split() for k in range(len(ws)))}
+        out.append((",".join(sorted(found | base)), 1.0 if base else best))
+    return out
+
+
+def test_licenses_brute(spark):
+    """Whole, cut, changed and joined notices beside trying everything."""
+    rng = random.Random(12)
+    texts = [None, "", "no licence here", "MIT MIT license license"]
+    for _ in range(150):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            n = rng.choice(licenses.TEMPLATES)[1].split()
+            a, b = (0, len(n)) if rng.random() < 0.5 else sorted(rng.sample(range(len(n) + 1), 2))
+            n = n[a:b]
+            for _ in range(rng.randint(0, 3) if n and rng.random() < 0.5 else 0):
+                n[rng.randrange(len(n))] = rng.choice(["license", "word", "the", "public"])
+            parts += n + [rng.choice(["beside", "|", "the", "zeta"])] * rng.randint(0, 3)
+        texts.append(" ".join(w.upper() if rng.random() < 0.2 else w for w in parts))
+    got = by_id(licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)))
+    want = brute_labels(texts)
+    assert {i: (got[i]["labels"], round(got[i]["score"], 9)) for i in got} == {i: (labels, round(score, 9)) for i, (labels, score) in enumerate(want)}
+    assert len({x for x, _ in want}) > 40
+
+
 def test_quality(spark, nothing, odd, docs):
     d = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{d}/labels.parquet")
