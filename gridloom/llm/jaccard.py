@@ -31,17 +31,19 @@ LONG = 32
 #: Rows of a list that are skipped together.
 BLOCK = 8
 #: Sets of a group that are compared in one task with as many others.
-TASK = 2048
+TASK = 1024
 #: Sets of a group that make its reference.
-SAMPLE = 64
+SAMPLE = 16
 #: So many n-grams of most documents are ordered by their counts; the others come before them, by hash. It bounds the broadcast; the order decides cost only.
 FREQUENT = 200_000
 #: Rows of one n-gram that one task gathers when lists are made; more are dealt to several.
 GATHER = 50_000
 #: Words of 64 bits in the filter of documents whose sets are needed again.
 FILTER = 1 << 18
+#: N-grams that are counted together in a task.
+COUNTED = 2_000_000
 #: Text that is held at once.
-HELD = 2 << 20
+HELD = 1 << 20
 
 
 def sets(column, n: int):
@@ -49,7 +51,7 @@ def sets(column, n: int):
     data, offsets = text_buffer(column)
     data = LOWER[data]
     starts, ends, first = word_ranges(data, offsets, BLANKS)
-    names, _ = hash_segments(data, starts, ends)
+    names = hash_segments(data, starts, ends, both=False)
     prefix = Prefix(names, 0)
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
@@ -88,13 +90,16 @@ def _summary(docs: DataFrame, n: int) -> DataFrame:
 
     def run(batches):
         row = TaskContext.get().partitionId() << 40
-        held, size = [], 0
+        held, size = np.zeros(COUNTED, np.uint64), 0
 
         def counted():
-            gram, count = np.unique(np.concatenate(held), return_counts=True)
+            here = held[:size]
+            here.sort()
+            first = np.flatnonzero(np.append(True, here[1:] != here[:-1])) if size else np.zeros(0, np.int64)
+            count = np.diff(np.append(first, size))
             many = count > 2
             k = int(many.sum())
-            return pa.RecordBatch.from_arrays([*(pa.nulls(k, f.type) for f in list(fields)[:6]), pa.array(gram[many].view(np.int64)), pa.array(count[many])], schema=fields)
+            return pa.RecordBatch.from_arrays([*(pa.nulls(k, f.type) for f in list(fields)[:6]), pa.array(here[first[many]].view(np.int64)), pa.array(count[many])], schema=fields)
 
         for batch in blocks(batches, "text", HELD):
             each = sets(batch.column("text"), n)
@@ -102,13 +107,15 @@ def _summary(docs: DataFrame, n: int) -> DataFrame:
             k = len(each)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + k)), batch.column("doc"), pa.array([len(s) for s in each], pa.int32()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), batch.column("mark"), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], schema=fields)
             row += k
-            held.append(np.concatenate(each))
-            size += len(held[-1])
-            if size > 2_000_000:
-                yield counted()
-                held, size = [], 0
-        if held:
-            yield counted()
+            for s in each:
+                while len(s):
+                    part, s = s[: COUNTED - size], s[COUNTED - size :]
+                    held[size : size + len(part)] = part
+                    size += len(part)
+                    if size == COUNTED:
+                        yield counted()
+                        size = 0
+        yield counted()
 
     return docs.mapInArrow(run, "row long, doc long, n int, d1 long, d2 long, mark long, gram long, count long")
 

@@ -154,7 +154,7 @@ def add_score(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "tex
 
     def run(batches):
         share, bias = sent.value
-        for batch in blocks(batches, text, 2 << 20):
+        for batch in blocks(batches, text, 1 << 19):
             p = score(*text_buffer(batch.column(text)), share, bias)
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array(p)], [*(f.name for f in kept), out])
 

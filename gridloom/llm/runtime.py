@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -24,13 +26,27 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 def materialise(df: DataFrame, name: str, *by: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: cuts the lineage, and survives a lost executor. ``by``: columns that get folders of their own."""
-    path = shared_folder(df.sparkSession, name)
-    df.write.partitionBy(*by).option("compression", "zstd").parquet(path)
-    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = shared_folder(spark, name)
+    with smaller_batches(spark):
+        df.write.partitionBy(*by).option("compression", "zstd").parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
     back.written_to = path
     return back
 
 
+@contextlib.contextmanager
+def smaller_batches(spark: SparkSession, rows: int = 1000):
+    """Batches of ``rows`` rows to and from Python meanwhile: texts may be long, and a task holds a batch several times."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def discard(*frames: DataFrame) -> None:
     """Deletes what ``materialise`` wrote, once all that was made of it is materialised too, and lets Spark drop the shuffle files of finished steps."""
     for df in frames:
@@ -60,8 +76,9 @@ def text_buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndar
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def blocks(batches, text: str, most: int = 4 << 20):
-    """Splits Arrow batches into slices whose texts have about ``most`` bytes, so memory stays bounded whatever the batch."""
+def blocks(batches, text: str, most: int = 1 << 20):
+    """Splits Arrow batches into slices whose texts have about ``most`` bytes, so memory stays bounded whatever the batch. At the end the worker, which lives on,
+    gives free memory back to the system."""
     for batch in batches:
         lengths = np.diff(text_buffer(batch.column(text))[1])
         at, n = 0, batch.num_rows
@@ -71,6 +88,9 @@ def blocks(batches, text: str, most: int = 4 << 20):
             to = max(at + 1, int(np.searchsorted(total, base + most, "right")))
             yield batch.slice(at, to - at)
             at = to
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
