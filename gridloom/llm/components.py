@@ -14,10 +14,10 @@ from .runtime import materialise
 EDGES_A_TASK = 50_000
 
 
-def _star(edges: DataFrame, small: bool, tasks: int) -> DataFrame:
+def _star(edges: DataFrame, small: bool) -> DataFrame:
     """``edges``: distinct (u, v), u > v. Links what a node sees to the least of it: greater neighbours in a large star, else lesser ones and the node."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if not small else edges
-    least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")).coalesce(tasks), "star")
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
     joined = both.join(least, "u")
     if small:
         out = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
@@ -35,8 +35,8 @@ def connected_components(edges: DataFrame, most: int | None = None) -> DataFrame
     for k in count():
         if k == most:
             raise RuntimeError(f"components are not settled after {most} rounds")
-        large = materialise(_star(now, False, tasks).coalesce(tasks), "large")
-        now = materialise(_star(large, True, tasks).coalesce(tasks), "small")
+        large = materialise(_star(now, False).coalesce(tasks), "large")
+        now = materialise(_star(large, True).coalesce(tasks), "small")
         row = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v") % 1000003).alias("s")).first()
         if mark == (row["n"], row["s"]):
             break

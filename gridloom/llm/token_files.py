@@ -113,16 +113,18 @@ class ShardReader:
             yield rows, self.frame(k), np.append(0, np.cumsum(self.lengths[rows]))
 
     def read(self, doc_ids) -> dict[int, np.ndarray]:
-        """Ids of the documents asked for; opens only their frames."""
+        """Ids of the documents asked for; of documents that share an id, the last."""
+        return dict(self.rows(doc_ids))
+
+    def rows(self, doc_ids):
+        """(doc_id, ids) of each document that has one of these ids; opens only their frames."""
         wanted = np.flatnonzero(np.isin(self.doc_ids, np.asarray(list(doc_ids), np.int64)))
-        out = {}
         for k in np.unique(self.frame_of[wanted]):
             rows, ids = np.flatnonzero(self.frame_of == k), self.frame(int(k))
             ends = np.cumsum(self.lengths[rows])
             for r in wanted[self.frame_of[wanted] == k]:
                 j = int(np.searchsorted(rows, r))
-                out[int(self.doc_ids[r])] = ids[ends[j] - self.lengths[r] : ends[j]]
-        return out
+                yield int(self.doc_ids[r]), ids[ends[j] - self.lengths[r] : ends[j]]
 
 
 def write_token_shards(docs: DataFrame, tokenizer: str, kind: str = "byte", end: int = 0, id_col: str = "doc_id", text: str = "text", folder: str | None = None) -> DataFrame:
@@ -184,7 +186,7 @@ def read_token_shards(manifest: DataFrame) -> DataFrame:
 
 
 def read_documents(manifest: DataFrame, doc_ids) -> DataFrame:
-    """(doc_id, ids) of a few documents; each shard decompresses only the frames that hold them."""
+    """(doc_id, ids) of a few documents, a row for each stored one that has an id of ``doc_ids``; each shard decompresses only the frames that hold them."""
     wanted = [int(x) for x in doc_ids]
 
     def read(batches):
@@ -192,7 +194,7 @@ def read_documents(manifest: DataFrame, doc_ids) -> DataFrame:
             for row in batch.to_pylist():
                 fs, path = pyarrow.fs.FileSystem.from_uri(row["path"])
                 with fs.open_input_file(path) as file:
-                    got = ShardReader(file, file.size()).read(wanted)
-                    yield pa.RecordBatch.from_pydict({"doc_id": list(got), "ids": [x.tolist() for x in got.values()]}, schema=pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int64()))]))
+                    got = list(ShardReader(file, file.size()).rows(wanted))
+                    yield pa.RecordBatch.from_pydict({"doc_id": [i for i, _ in got], "ids": [x.tolist() for _, x in got]}, schema=pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int64()))]))
 
     return manifest.mapInArrow(read, "doc_id long, ids array<bigint>")

@@ -1,6 +1,6 @@
 """WARC archives with dictionary compression.
 
-An archive (``.warc.zst``) starts with a skippable frame (magic 0x184D2A5D) that embeds a Zstandard dictionary built from records of that archive; each record after it
+An archive (``.warc.zst``) starts with a skippable frame (magic 0x184D2A5D) that embeds a Zstandard dictionary built from a bounded sample of all records; each record after it
 is a frame of its own, compressed with the dictionary, so any record can be read alone. Payloads that occur again are written as
 ``revisit`` records that refer to the record which keeps them.
 """
@@ -24,6 +24,7 @@ from .runtime import materialise, shared_folder
 
 DICTIONARY_FRAME = 0x184D2A5D
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+DATE = "2024-01-01T00:00:00Z"
 #: High half of record ids; the low half is the page's id.
 _SPACE = 0x6772_6964_6C6F_4F6D << 64 | 1 << 64
 _FIELDS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("archive", pa.string())])
@@ -81,34 +82,16 @@ def build_dictionary(records: list[bytes], size: int) -> zstandard.ZstdCompressi
 
 
 class WarcWriter:
-    """Trains on the first ``train_bytes`` of records, which it holds back meanwhile, then streams."""
+    """Embeds a dictionary (its bytes, none if empty), then streams records, each a frame of its own."""
 
-    def __init__(self, stream, train_bytes: int = 1 << 20, dictionary_bytes: int = 32 << 10, level: int = 3):
-        self.stream, self.train_bytes, self.dictionary_bytes, self.level = stream, train_bytes, dictionary_bytes, level
-        self.held: list[bytes] | None = []
-        self.bytes, self.coder = 0, None
+    def __init__(self, stream, dictionary: bytes = b"", level: int = 3):
+        self.stream = stream
+        book = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+        stream.write(struct.pack("<II", DICTIONARY_FRAME, len(dictionary)) + dictionary)
+        self.coder = zstandard.ZstdCompressor(level=level, dict_data=book, write_checksum=True)
 
     def write(self, record: bytes) -> None:
-        if self.held is None:
-            self.stream.write(self.coder.compress(record))
-            return
-        self.held.append(record)
-        self.bytes += len(record)
-        if self.bytes >= self.train_bytes:
-            self._start()
-
-    def _start(self) -> None:
-        held, self.held = self.held, None
-        book = build_dictionary(held, self.dictionary_bytes)
-        body = book.as_bytes() if book else b""
-        self.stream.write(struct.pack("<II", DICTIONARY_FRAME, len(body)) + body)
-        self.coder = zstandard.ZstdCompressor(level=self.level, dict_data=book, write_checksum=True)
-        for record in held:
-            self.stream.write(self.coder.compress(record))
-
-    def close(self) -> None:
-        if self.held is not None:
-            self._start()
+        self.stream.write(self.coder.compress(record))
 
 
 def read_records(file, step: int = 1 << 14):
@@ -145,12 +128,28 @@ def mark_revisits(pages: DataFrame, least: int = 0, id_col: str = "page_id", htm
     return joined.select("page_id", "url", "payload", F.when(~keeps, F.col("keeper")).alias("refers_to"))
 
 
-def write_archives(pages: DataFrame, least: int = 0, folder: str | None = None, date: str = "2024-01-01T00:00:00Z", **columns) -> DataFrame:
+def train_book(records: DataFrame, most: int, size: int) -> bytes:
+    """A dictionary for ``records`` (page_id, url, payload, refers_to), made in one task from about ``most`` bytes of them, picked by a hash from all over the table."""
+    held = records.agg(F.sum(F.octet_length("payload") + 400).alias("n")).first()["n"] or 0  # headers have some 400 bytes
+    share = min(1.0, most / held) if held else 1.0
+    part = records.where(F.pmod(F.xxhash64("page_id", "payload"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).repartition(1)
+
+    def train(batches):
+        made = [make_record(page, url, text.as_buffer().to_pybytes(), "A" * 32, refers, DATE) for batch in batches for page, url, text, refers in zip(batch.column("page_id").to_pylist(), batch.column("url").to_pylist(), batch.column("payload"), batch.column("refers_to").to_pylist())]
+        book = build_dictionary(sorted(made), size) if made else None
+        yield pa.RecordBatch.from_arrays([pa.array([book.as_bytes() if book else b""], pa.binary())], ["book"])
+
+    return bytes((part.mapInArrow(train, "book binary").collect() or [{"book": b""}])[0]["book"])  # ``size`` bytes
+
+
+def write_archives(pages: DataFrame, least: int = 0, folder: str | None = None, date: str = DATE, train_bytes: int = 4 << 20, dictionary_bytes: int = 32 << 10, **columns) -> DataFrame:
     """Writes a record per row and returns the manifest (path string, records long), one archive per task that had rows.
 
-    A repeated task writes another file; only the file that the manifest names counts. Empty tables give an empty manifest; extra columns are ignored.
+    All archives embed the dictionary that is trained on about ``train_bytes`` of records from all over the table. A repeated task writes another file; only the file that the manifest names counts. Empty tables give an empty manifest; extra columns are ignored.
     """
     folder = folder or shared_folder(pages.sparkSession, "warc")
+    records = mark_revisits(pages, least, **columns)
+    book = train_book(records, train_bytes, dictionary_bytes)
 
     def write(batches):
         writer = file = None
@@ -162,17 +161,16 @@ def write_archives(pages: DataFrame, least: int = 0, folder: str | None = None,
                     fs.create_dir(root)
                     name = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.zst"
                     file = fs.open_output_stream(f"{root}/{name}", compression=None)
-                    writer = WarcWriter(file)
+                    writer = WarcWriter(file, book)
                 payload = text.as_buffer().to_pybytes()
                 digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
                 writer.write(make_record(page, url, payload, digest, refers, date))
                 n += 1
         if writer is not None:
-            writer.close()
             file.close()
             yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([n])], ["path", "records"])
 
-    return materialise(mark_revisits(pages, least, **columns).mapInArrow(write, "path string, records long"), "warc-manifest")
+    return materialise(records.mapInArrow(write, "path string, records long"), "warc-manifest")
 
 
 def read_archives(manifest: DataFrame) -> DataFrame:
