@@ -1,10 +1,13 @@
 """From raw documents to packed sequences: each stage works on all that its predecessor kept.
 
-Decisions are judged on each stage's own input. All stages but the last return the columns of ``documents``, unchanged unless said.
+Decisions are judged on each stage's own input. All stages but the last return the columns of ``documents``, unchanged unless said; further columns pass through,
+whatever their names. Null texts are empty texts, null and repeated ids are allowed, and an empty table stays empty; what each stage does with them is said there.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,32 +17,36 @@ from gridloom.llm.runtime import materialise
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: documents that score below 0.3 go. The model is fitted on labelled rows of ``docs`` that aren't held out."""
+    """Operator 8: documents that score below 0.3 go. The model is fitted on labelled rows of ``docs`` that aren't held out; without any, every document
+    has the same score of one half and stays. Empty and null texts have the score of a text without features. Rows are judged one by one, so repeated and null ids don't matter."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.add_score(docs, model, out="__score").where("__score >= 0.3").drop("__score")
+    name = f"score_{uuid.uuid4().hex}"
+    return quality.add_score(docs, model, out=name).where(F.col(name) >= 0.3).drop(name)
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 9: of texts equal but for the case of A-Z, the document with the largest id stays."""
+    """Operator 9: of texts equal but for the case of A-Z, the document with the largest id stays; empty and null texts are equal. A null id stays only where no equal text has an id. Rows
+    that agree in id and text stay or go together; an id's other texts are judged on their own."""
     return exact_dedup.drop_exact_duplicates(docs)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7, on sets of five-word shingles at a similarity of 0.8: of each component the document with the smallest id stays."""
+    """Operator 7, on sets of five-word shingles at a similarity of 0.8: of each component the document with the smallest id stays. Texts without words are near nothing and stay. A null
+    id counts as the largest. Rows that agree in id and text stay or go together."""
     return jaccard.keep_one_of_each(docs, 5, 80)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: words of repeats of 13 words or more go where a document with a smaller id has them too. Texts that lose words are joined by single blanks again,
-    and n_chars follows; others are unchanged. A document that loses all of its words goes."""
-    done = substring.remove_repeats(docs)
-    less = F.col("n_removed") > 0
-    out = done.where((F.col("n_removed") < F.col("n_words")) | (F.col("n_words") == 0))
-    return out.withColumn("text", F.when(less, F.col("kept")).otherwise(F.col("text"))).withColumn("n_chars", F.when(less, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    and n_chars follows; others, null and empty ones among them, are unchanged. A document that loses all of its words goes. A null id counts as the smallest; rows of one id don't take words from each other."""
+    done = substring.remove_repeats(docs, prefix="__")
+    less, left = F.col("__n_removed") > 0, (F.col("__n_removed") < F.col("__n_words")) | (F.col("__n_words") == 0)
+    changed = done.where(left).withColumn("text", F.when(less, F.col("__kept")).otherwise(F.col("text")))
+    return changed.withColumn("n_chars", F.when(less, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    """Operator 5: doc_id, piece, start, length, ids_crc32, sequence_id, offset. Every row has at least the piece of its end id; rows that repeat an id have pieces of their own."""
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), "word", 1, 4096)
 
 
