@@ -18,11 +18,13 @@ from pyspark.sql import functions as F
 from .windows import band, band_bounds, countifs_rank, quartile_ladder
 
 
-def entity_table(df: DataFrame, key: str, label: str, category: str, score: str, dims: list[str] = (), measures: list[str] = (), higher_is_better: bool = True) -> DataFrame:
-    """Adds rank, ranked (in the category) and quartile to one row per entity; categories of fewer than four rated entities have no quartiles."""
-    base = df.select(F.col(key).alias("key"), F.col(label).alias("label"), F.col(category).alias("category"), F.col(score).alias("score"), *[d for d in dims], *[m for m in measures if m != score])
-    ranked = countifs_rank(base, ["category"], F.col("score"), "rank", ">" if higher_is_better else "<")
-    ranked = ranked.withColumn("ranked", F.count("score").over(Window.partitionBy("category")))
+def entity_table(df: DataFrame, key: str, label: str, category: str, score: str, dims: list[str] = (), measures: list[str] = (), higher_is_better: bool = True, period: str | None = None) -> DataFrame:
+    """Adds rank, ranked (in the category) and quartile to one row per entity; categories of fewer than four rated entities have no quartiles. With ``period``, a row per entity and
+    period, ranked in each."""
+    every = [period] if period else []
+    base = df.select(*every, F.col(key).alias("key"), F.col(label).alias("label"), F.col(category).alias("category"), F.col(score).alias("score"), *[d for d in dims], *[m for m in measures if m != score])
+    ranked = countifs_rank(base, [*every, "category"], F.col("score"), "rank", ">" if higher_is_better else "<")
+    ranked = ranked.withColumn("ranked", F.count("score").over(Window.partitionBy(*every, "category")))
     return ranked.withColumn("quartile", quartile_ladder(F.col("rank"), F.col("ranked")))
 
 
@@ -75,14 +77,14 @@ def apply_scope(df: DataFrame, scope: Scope, searched: list[str] = ("label", "ke
 VALUES = {"mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "median": F.median}
 
 
-def explore(df: DataFrame, by: str, measure: str = "score", how: str = "mean", split: str | None = None) -> DataFrame:
+def explore(df: DataFrame, by: str, measure: str = "score", how: str = "mean", split: str | None = None, period: str | None = None) -> DataFrame:
     """Groups by a dimension: funds, rated, q1..q4, value, median position (rank / ranked), share in the first quartile. ``split``: a separator that makes one entity a
     member of several groups."""
     if split:
         members = F.filter(F.transform(F.split(by, re.escape(split)), lambda x: F.trim(x)), lambda x: x != "")
         df = df.withColumn(by, F.explode(F.array_distinct(members)))
     position = F.col("rank") / F.col("ranked")
-    return df.groupBy(F.col(by).cast("string").alias("label")).agg(*_summary(measure, how, position))
+    return df.groupBy(*([period] if period else []), F.col(by).cast("string").alias("label")).agg(*_summary(measure, how, position))
 
 
 def _summary(measure: str, how: str, position: Column) -> list[Column]:
@@ -103,6 +105,22 @@ def explore_change(now: DataFrame, before: DataFrame, least: int = 4) -> DataFra
     return joined.withColumn("change", F.col("value") - F.col("value_before")).withColumn("small", F.col("rated") < least)
 
 
+def explore_over(df: DataFrame, by: str, period: str, before, now, measure: str = "score", how: str = "mean", least: int = 4) -> DataFrame:
+    """``explore_change`` of two periods of one table with a row per entity and period: one aggregate of both, then the groups' rows side by side."""
+    both = explore(df.where(F.col(period).isin(before, now)), by, measure, how, period=period)
+    earlier = Window.partitionBy("label").orderBy(F.col(period) == now)
+    placed = both.withColumn("value_before", F.lag("value").over(earlier)).withColumn("is_new", F.row_number().over(earlier) == 1).where(F.col(period) == now).drop(period)
+    return placed.withColumn("change", F.col("value") - F.col("value_before")).withColumn("small", F.col("rated") < least)
+
+
+def movement_over(df: DataFrame, period: str, before, now) -> DataFrame:
+    """``movement`` between two periods of one table with a row per entity and period: a window over each entity's two rows instead of a join."""
+    earlier = Window.partitionBy("key").orderBy(F.col(period) == now)
+    old = lambda c: F.lag(c).over(earlier)
+    placed = df.where(F.col(period).isin(before, now)).withColumns({"rank_before": old("rank"), "quartile_before": old("quartile"), "is_new": F.row_number().over(earlier) == 1})
+    return placed.where(F.col(period) == now).withColumn("delta", F.col("rank_before") - F.col("rank"))
+
+
 def explore_order(df: DataFrame, sort: str = "value", descending: bool = True, limit: int = 15) -> DataFrame:
     """Small groups last, nulls last within them, ties by label; ``limit`` 0 for all."""
     c = F.lower(F.col(sort)) if sort == "label" else F.col(sort)

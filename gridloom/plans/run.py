@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..checkpoints import ensure_checkpoints
 from ..functions import values as V
 from ..operators.joins import overlay
 from . import formula as L
@@ -126,10 +127,7 @@ def run(cells: DataFrame, model: Model, overrides: dict | None = None, baseline:
         raise RunRefused("circular: " + "; ".join(model.describe_cycles()))
     if unknown and not skip_unsupported:
         raise RunRefused("functions not supported: " + ", ".join(sorted(unknown)))
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gridloom-"))
+    ensure_checkpoints(spark)
     changed = {parse_override(k, model): v for k, v in (overrides or {}).items()}
     todo = affected(model, list(changed)) if baseline is not None else {b.id for b in model.blocks}
     skip = {b.id for b in model.blocks if L.called(b.tree) & unknown}

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .checkpoints import ensure_checkpoints
 from .functions import scalar as S
 from .functions.criteria import number_mask, text_mask
 from .functions.values import BOOL, EMPTY, NUMBER, TEXT, cell, compare, concat, r15, text, text_to_number
@@ -36,15 +37,6 @@ def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _checkpoints(spark: SparkSession) -> None:
-    """A folder for checkpoints where none is configured."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gridloom-"))
-
-
 def r(c, digits: int = 4):
     return F.round(c, digits)
 
@@ -225,6 +217,15 @@ def entities(spark, d, period: int | None = None) -> DataFrame:
     return R.entity_table(c, "c_custkey", "c_name", "n_name", "spend", ["c_mktsegment"], ["c_acctbal"])
 
 
+def entities_by_half(spark, d) -> DataFrame:
+    """The same for both halves of the years (half 0 and 1), a row for each, from one scan of the orders."""
+    late = F.month("o_orderdate") > 6
+    spend = t(spark, d, "orders").groupBy("o_custkey").agg(r(F.sum(F.when(~late, F.col("o_totalprice"))), 2).alias("first"), r(F.sum(F.when(late, F.col("o_totalprice"))), 2).alias("second"))
+    c = t(spark, d, "customer").join(spend, F.col("c_custkey") == F.col("o_custkey"), "left").join(F.broadcast(t(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))  # nation has a row per country
+    each = c.withColumn("x", F.explode(F.array(F.struct(F.lit(0).alias("half"), F.col("first").alias("spend")), F.struct(F.lit(1).alias("half"), F.col("second").alias("spend"))))).select("*", "x.half", "x.spend")
+    return R.entity_table(each, "c_custkey", "c_name", "n_name", "spend", ["c_mktsegment"], ["c_acctbal"], period="half")
+
+
 def _entities_sql(where: str = "true", name: str = "e") -> str:
     return f"""s_{name} AS (SELECT o_custkey, round(sum(o_totalprice), 2) AS spend FROM orders WHERE {where} GROUP BY 1),
 b_{name} AS (SELECT c_custkey AS key, c_name AS label, n_name AS category, spend AS score, c_mktsegment, c_acctbal FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN s_{name} ON o_custkey = c_custkey),
@@ -336,8 +337,7 @@ def explore_group(spark, d):
 @query(f"""WITH {EA}, {EB}, x AS (SELECT c_mktsegment AS label, count(score) AS rated, avg(score) AS value FROM a GROUP BY 1), y AS (SELECT c_mktsegment AS label, avg(score) AS value FROM b GROUP BY 1)
 SELECT label, rated, round(x.value, 2) AS value, round(x.value - y.value, 2) AS change, rated < 4 AS small FROM x LEFT JOIN y USING (label)""")
 def explore_change(spark, d):
-    now, before = R.explore(entities(spark, d, 1), "c_mktsegment"), R.explore(entities(spark, d, 0), "c_mktsegment")
-    out = R.explore_order(R.explore_change(now, before), "change", True, 0)
+    out = R.explore_order(R.explore_over(entities_by_half(spark, d), "c_mktsegment", "half", 0, 1), "change", True, 0)
     return out.select("label", "rated", r("value", 2).alias("value"), r("change", 2).alias("change"), "small")
 
 
@@ -393,7 +393,7 @@ def held_every_period(spark, d):
 
 @query(f"WITH {EA}, {EB} SELECT a.key, b.rank - a.rank AS delta, a.rank AS rank, b.rank AS rank_before FROM a JOIN b USING (key)")
 def movement_movers(spark, d):
-    return R.movement(entities(spark, d, 1), entities(spark, d, 0)).select("key", "delta", "rank", "rank_before")
+    return R.movement_over(entities_by_half(spark, d), "half", 0, 1).select("key", "delta", "rank", "rank_before")
 
 
 @query("""WITH a AS (SELECT DISTINCT o_custkey AS key FROM orders WHERE month(o_orderdate) > 6), b AS (SELECT DISTINCT o_custkey AS key FROM orders WHERE month(o_orderdate) <= 6)
@@ -407,7 +407,7 @@ def entries_exits(spark, d):
 SELECT count(*) FILTER (WHERE delta > 0) AS up, count(*) FILTER (WHERE delta < 0) AS down, round(avg(delta) FILTER (WHERE delta > 0), 4) AS mean_up, round(-avg(delta) FILTER (WHERE delta < 0), 4) AS mean_down,
 count(*) FILTER (WHERE q = 1 AND p <> 1) AS into_q1, count(*) FILTER (WHERE q <> 1 AND p = 1) AS out_of_q1 FROM m""")
 def movement_stats(spark, d):
-    return R.movement_stats(R.movement(entities(spark, d, 1), entities(spark, d, 0))).withColumns({"mean_up": r("mean_up"), "mean_down": r("mean_down")})
+    return R.movement_stats(R.movement_over(entities_by_half(spark, d), "half", 0, 1)).withColumns({"mean_up": r("mean_up"), "mean_down": r("mean_down")})
 
 
 @query(f"""WITH {E1} SELECT category, count(*) AS n, count(score) AS rated, count(quartile) AS ranked, count(*) FILTER (WHERE quartile = 1) AS q1, count(*) FILTER (WHERE quartile = 4) AS q4, round(avg(score), 2) AS mean,
@@ -534,7 +534,7 @@ def rect_overlap_edges(spark, d):
 @query("""WITH RECURSIVE n AS (SELECT 1::BIGINT AS node UNION SELECT l_partkey FROM lineitem JOIN n ON l_orderkey = node) SELECT node FROM n""")
 def reachability(spark, d):
     """All line items: an order leads to its parts, and a part to the order of its number."""
-    _checkpoints(spark)
+    ensure_checkpoints(spark)
     e = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("source"), F.col("l_partkey").alias("target"))
     return J.reachable(e, spark.createDataFrame([(1,)], "node long"))
 

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from .checkpoints import ensure_checkpoints
 from .functions.values import BOOL, ERROR, NUMBER, TEXT, cell
 from .operators import aggregates as A
 from .operators import pages as P
 from .operators import structure as T
 from .operators.validation import reconcile
 from .plans import research_map as M
-from .queries import E1, EA, EB, _checkpoints, entities, query, r, t
+from .queries import E1, EA, EB, entities, query, r, t
 
 MOVED = f"WITH {EA}, {EB}, m AS (SELECT a.key, a.label, a.category, b.rank AS rank_from, a.rank AS rank_to, b.rank - a.rank AS delta, b.quartile::INTEGER AS quartile_from, a.quartile::INTEGER AS quartile_to FROM a JOIN b USING (key) WHERE a.rank <> b.rank)"
 
@@ -182,7 +183,7 @@ def array_spill(spark, d):
 
 @query("WITH RECURSIVE e AS (SELECT p_partkey // 2 AS source, p_partkey AS target FROM part WHERE p_partkey > 1 UNION SELECT p_partkey // 3, p_partkey FROM part WHERE p_partkey >= 3), w AS (SELECT 1::BIGINT AS node, 0 AS depth UNION SELECT target, depth + 1 FROM w JOIN e ON source = node) SELECT node, max(depth)::INTEGER AS depth FROM w GROUP BY 1")
 def graph_depths(spark, d):
-    _checkpoints(spark)
+    ensure_checkpoints(spark)
     k = F.col("p_partkey")
     p = t(spark, d, "part")
     edges = p.where(k > 1).select(F.floor(k / 2).alias("source"), k.alias("target")).unionByName(p.where(k >= 3).select(F.floor(k / 3).alias("source"), k.alias("target")))
@@ -191,7 +192,7 @@ def graph_depths(spark, d):
 
 @query("""WITH RECURSIVE e AS (SELECT l_partkey AS source, l_orderkey AS target FROM lineitem), w AS (SELECT 32::BIGINT AS node, 0 AS depth UNION SELECT source, depth + 1 FROM w JOIN e ON target = node WHERE depth < 3) SELECT node, min(depth)::INTEGER AS depth FROM w GROUP BY 1""")
 def lineage_levels(spark, d):
-    _checkpoints(spark)
+    ensure_checkpoints(spark)
     edges = t(spark, d, "lineitem").select(F.col("l_partkey").alias("source"), F.col("l_orderkey").alias("target"))
     return T.upstream(edges, spark.createDataFrame([(32,)], "node long"), 3)
 

@@ -303,9 +303,9 @@ def test_crosstab_refuses_what_it_cannot_show(spark):
 
 def test_rounds_never_end_silently(spark):
     from gridloom.operators import joins as J
-    from gridloom.queries import _checkpoints
+    from gridloom.checkpoints import ensure_checkpoints
 
-    _checkpoints(spark)
+    ensure_checkpoints(spark)
     chain = spark.range(9).selectExpr("id as source", "id + 1 as target")
     start = spark.createDataFrame([(0,)], "node long")
     with pytest.raises(RuntimeError):
