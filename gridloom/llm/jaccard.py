@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .runtime import blocks, discard, materialise, ragged, text_buffer
+from .runtime import blocks, discard, likely, materialise, ragged, text_buffer
 from .segments import BLANKS, LOWER, Prefix, hash_segments, mix, word_ranges
 
 #: Lists of more sets than this are long: their sets form groups.
@@ -38,8 +38,6 @@ SAMPLE = 16
 FREQUENT = 200_000
 #: Rows of one n-gram that one task gathers when lists are made; more are dealt to several.
 GATHER = 50_000
-#: Words of 64 bits in the filter of documents whose sets are needed again.
-FILTER = 1 << 18
 #: N-grams that are counted together in a task.
 COUNTED = 2_000_000
 #: Text that is held at once.
@@ -226,10 +224,6 @@ def _short_pairs(lists: DataFrame, percent: int) -> DataFrame:
 
 def _whole(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """(row, n, grams, grouped) of the sets ``wanted`` (row, doc, d1, d2, grouped), made again from the texts. A filter of fixed size keeps other documents from being moved."""
-    bit = F.xxhash64("doc")
-    place, mask = F.pmod(F.shiftright(bit, 6), F.lit(FILTER)).alias("place"), F.expr("shiftleft(1L, cast(xxhash64(doc) & 63 AS int))")
-    words = wanted.select(place, mask.alias("mask")).groupBy("place").agg(F.bit_or("mask").alias("word"))
-    likely = docs.withColumn("place", place).withColumn("mask", mask).join(F.broadcast(words), "place").where(F.col("word").bitwiseAND(F.col("mask")) != 0).select("doc", "text")
     fields = pa.schema([("row", pa.int64()), ("n", pa.int32()), ("grams", pa.list_(pa.int64())), ("grouped", pa.int32())])
 
     def run(batches):
@@ -245,7 +239,7 @@ def _whole(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                     at.append(i)
             yield pa.RecordBatch.from_arrays([pa.array(rows[at]), pa.array([len(each[i]) for i in at], pa.int32()), pa.array([each[i].view(np.int64) for i in at], pa.list_(pa.int64())), batch.column("grouped").take(pa.array(at, pa.int32()))], schema=fields)
 
-    return likely.join(wanted, "doc").select("row", "d1", "d2", "grouped", "text").mapInArrow(run, "row long, n int, grams array<bigint>, grouped int")
+    return likely(docs, "doc", wanted).join(wanted, "doc").select("row", "d1", "d2", "grouped", "text").mapInArrow(run, "row long, n int, grams array<bigint>, grouped int")
 
 
 def compare(left: pd.DataFrame, right: pd.DataFrame, percent: int, every: bool) -> tuple[np.ndarray, np.ndarray]:

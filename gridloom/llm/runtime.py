@@ -11,6 +11,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -57,8 +58,19 @@ def discard(*frames: DataFrame) -> None:
 
 def release(spark: SparkSession) -> None:
     """Lets go of the shuffle files of finished steps: Spark removes them when its garbage collector finds that nothing refers to the step any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first frees may hold others
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+
+
+def likely(df: DataFrame, key: str, wanted: DataFrame, words: int = 1 << 18) -> DataFrame:
+    """Rows of ``df`` whose ``key`` may be one of those in ``wanted``, and some others: a filter of ``words`` words of 64 bits at most, whatever the tables' sizes, so that
+    most rows which a join would drop need not be moved. Keys are integers; a null key is dropped."""
+    hashed = F.xxhash64(key)
+    place, bit = F.pmod(F.shiftright(hashed, 6), F.lit(words)), F.expr(f"shiftleft(1L, cast(xxhash64({key}) & 63 AS int))")
+    marks = wanted.select(place.alias("__place"), bit.alias("__bit")).groupBy("__place").agg(F.bit_or("__bit").alias("__word"))
+    hit = df.withColumns({"__place": place, "__bit": bit}).join(F.broadcast(marks), "__place").where(F.col("__word").bitwiseAND(F.col("__bit")) != 0)
+    return hit.select(*df.columns)
 
 
 def text_buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import blocks, discard, materialise, ragged, release, text_buffer
+from .runtime import blocks, discard, likely, materialise, ragged, release, text_buffer
 from .segments import BLANKS, Prefix, hash_segments, mix, word_ranges
 
 FAR = 1 << 20
@@ -164,7 +164,7 @@ def repeated_ranges(docs: DataFrame, window: int = 13) -> DataFrame:
         .where("least < most").select("a", "least", (F.col("c0") != F.col("c1")).alias("varied")), "anchors"
     )
     release(spark)
-    kept = materialise(rows.join(shared, "a"), "shared-contexts")
+    kept = materialise(likely(rows, "a", shared).join(shared, "a"), "shared-contexts")
     discard(rows, shared)
     plain = kept.where(~F.col("varied") & (F.col("doc") > F.col("least"))).select("doc", "s", "k")
     varied = kept.where("varied").drop("least")
@@ -172,7 +172,8 @@ def repeated_ranges(docs: DataFrame, window: int = 13) -> DataFrame:
     owned = materialise(varied.join(least, ["a", "c"]).select("doc", "s", "k", (F.col("doc") > F.col("least")).alias("late")), "owned-contexts")
     copies = owned.where("late").select("doc", "s", "k")
     spots = owned.where(~F.col("late")).groupBy("doc").agg(F.collect_list(F.struct(F.col("s"), F.col("k"))).alias("spots"))
-    windows = materialise(_windows(docs.select("doc", "text").join(spots, "doc"), window), "windows")
+    texts = likely(docs.select("doc", "text"), "doc", owned.where(~F.col("late")).select("doc"))
+    windows = materialise(_windows(texts.join(spots, "doc"), window), "windows")
     release(spark)
     first = materialise(windows.groupBy("w1", "w2").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").drop("most"), "windows-least")
     late = windows.join(first, ["w1", "w2"]).where("doc > least").select("doc", "s", F.lit(1).alias("k"))
