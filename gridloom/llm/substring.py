@@ -176,7 +176,8 @@ def repeated_ranges(docs: DataFrame, window: int = 13) -> DataFrame:
     windows = materialise(_windows(texts.join(spots, "doc"), window), "windows")
     release(spark)
     first = materialise(windows.groupBy("w1", "w2").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").drop("most"), "windows-least")
-    late = windows.join(first, ["w1", "w2"]).where("doc > least").select("doc", "s", F.lit(1).alias("k"))
+    release(spark)
+    late = likely(windows, "w1", first).join(first, ["w1", "w2"]).where("doc > least").select("doc", "s", F.lit(1).alias("k"))
     every = plain.unionByName(copies).unionByName(late)
     ranges = materialise(every.groupBy("doc").agg(F.collect_list(F.struct("s", "k")).alias("ranges")), "repeats")
     discard(kept, owned, windows, first)
