@@ -95,7 +95,7 @@ def _summary(docs: DataFrame, n: int) -> DataFrame:
             here.sort()
             first = np.flatnonzero(np.append(True, here[1:] != here[:-1])) if size else np.zeros(0, np.int64)
             count = np.diff(np.append(first, size))
-            many = count > 2
+            many = count > 1
             k = int(many.sum())
             return pa.RecordBatch.from_arrays([*(pa.nulls(k, f.type) for f in list(fields)[:6]), pa.array(here[first[many]].view(np.int64)), pa.array(count[many])], schema=fields)
 
