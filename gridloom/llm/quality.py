@@ -54,8 +54,8 @@ def features(data: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> tuple[n
     return np.concatenate(buckets).astype(np.int32), np.concatenate(owners)
 
 
-def train(texts: pa.Array, labels: np.ndarray, dim: int = 8, epochs: int = 5, rate: float = 0.6, batch: int = 64, bits: int = BITS, seed: int = 7) -> dict:
-    """Vectors and the output layer, by stochastic gradient descent on mini-batches; the rate falls linearly. Documents' repeated features
+def train(texts: pa.Array, labels: np.ndarray, dim: int = 8, steps: int = 325, rate: float = 0.6, batch: int = 64, bits: int = BITS, seed: int = 7) -> dict:
+    """Vectors and the output layer, by stochastic gradient descent on ``steps`` mini-batches, whatever the number of rows; the rate falls linearly. Documents' repeated features
     count as often as they occur. Rows that are no 0/1 label must not be given; with none or one class the prior alone is learned."""
     random = np.random.default_rng(seed)
     vectors = random.uniform(-1 / dim, 1 / dim, (1 << bits, dim)).astype(np.float32)
@@ -68,11 +68,10 @@ def train(texts: pa.Array, labels: np.ndarray, dim: int = 8, epochs: int = 5, ra
         got = features(*text_buffer(texts[k : k + 1]), bits)[0]
         bucket, count = np.unique(got, return_counts=True)
         rows.append((bucket, (count / max(1, count.sum())).astype(np.float32)))
-    epochs = max(epochs, min(60, 300 * batch // max(n, 1)))  # few rows need as many steps as many rows
-    steps, done = max(1, epochs * -(-n // batch)), 0
-    for _ in range(epochs if 0 < labels.sum() < n else 0):
+    done = 0 if 0 < labels.sum() < n and any(len(bucket) for bucket, _ in rows) else steps
+    while done < steps:
         order = random.permutation(n)
-        for at in range(0, n, batch):
+        for at in range(0, min(n, (steps - done) * batch), batch):
             part = order[at : at + batch]
             sizes = np.array([len(rows[i][0]) for i in part])
             bucket, weight = np.concatenate([rows[i][0] for i in part]), np.concatenate([rows[i][1] for i in part])
@@ -80,6 +79,7 @@ def train(texts: pa.Array, labels: np.ndarray, dim: int = 8, epochs: int = 5, ra
             hidden = np.zeros((len(part), dim), np.float32)
             filled = np.flatnonzero(sizes)
             if not len(filled):
+                done += 1
                 continue
             hidden[filled] = np.add.reduceat(vectors[bucket] * weight[:, None], (np.cumsum(sizes) - sizes)[filled])
             logits = hidden @ out.T + bias
