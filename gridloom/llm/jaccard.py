@@ -118,6 +118,22 @@ def _summary(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, "row long, doc long, n int, d1 long, d2 long, mark long, gram long, count long")
 
 
+def _frequent(counted: DataFrame, most: int = 10_000) -> tuple[np.ndarray, np.ndarray]:
+    """N-grams and counts of all that occur at least so often that there are no more than ``FREQUENT`` of them. The driver gets the numbers of n-grams by count (above ``most`` they are
+    one row), then these n-grams."""
+    level = F.least("count", F.lit(most))
+    least, total = None, 0
+    for row in counted.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("level")).collect():
+        total += row["k"]
+        if total > FREQUENT:
+            break
+        least = row["level"]
+    if least is None:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    found = counted.where(level >= least).toPandas()
+    return found["gram"].to_numpy(np.int64).view(np.uint64), found["count"].to_numpy(np.int64)
+
+
 def _prefixes(docs: DataFrame, n: int, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """(gram, salt, d1, d2, n, at) of each prefix: ``at`` is the n-gram's place in its set, ``salt`` deals the n-grams of very many documents."""
     order = np.argsort(frequent[0])
@@ -328,8 +344,7 @@ def similar_sets(docs: DataFrame, n: int = 4, percent: int = 85, every: bool = F
     whose sets have ``percent`` of their union in common: with ``every`` all of them, else enough to hold every component together."""
     raw = materialise(_summary(docs, n), "sets")
     rows = raw.where("row is not null").drop("gram", "count")
-    counted = raw.where("gram is not null").groupBy("gram").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "gram").limit(FREQUENT).toPandas()  # bounded
-    frequent = counted["gram"].to_numpy(np.int64).view(np.uint64), counted["count"].to_numpy(np.int64)
+    frequent = _frequent(materialise(raw.where("gram is not null").groupBy("gram").agg(F.sum("count").alias("count")), "counted"))
     nodes = materialise(rows.where("n > 0").groupBy("d1", "d2").agg(F.min(F.struct("row", "doc", "n")).alias("r")).select("d1", "d2", "r.*"), "nodes")
     gathered = Window.partitionBy("gram", "salt")
     shared = (F.min("d1").over(gathered) != F.max("d1").over(gathered)) | (F.col("salt") > 0)
