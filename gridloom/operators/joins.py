@@ -84,10 +84,32 @@ def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFram
 
 def overlap_edges(writers: DataFrame, readers: DataFrame) -> DataFrame:
     """(source, target) where a reader's rectangle meets a writer's on one sheet. Rectangles: id, sheet, r1, r2, c1, c2.
-    The smaller side is a model's blocks, some hundreds; Spark picks the join."""
-    w, r = writers.alias("w"), readers.alias("r")
-    cond = (F.col("w.sheet") == F.col("r.sheet")) & (F.col("w.r1") <= F.col("r.r2")) & (F.col("r.r1") <= F.col("w.r2")) & (F.col("w.c1") <= F.col("r.c2")) & (F.col("r.c1") <= F.col("w.c2"))
-    return w.join(r, cond).select(F.col("w.id").alias("source"), F.col("r.id").alias("target")).distinct()
+
+    Each rectangle has a level by its height and one by its width, the least power of two that isn't smaller. Rectangles of two levels meet in tiles of the larger, of which none covers more
+    than two in a row or column, so only those are compared that share a tile. The tile with the upper left corner of what two have in common gives the pair, once. Only pairs of ids with
+    several rectangles are looked through for doubles."""
+    level = lambda a, b: F.ceil(F.log2(F.abs(F.col(b) - F.col(a)) + 1.0)).cast("int")
+
+    def side(df: DataFrame, mark: str) -> DataFrame:
+        many = df.groupBy("id").agg((F.count(F.lit(1)) > 1).alias("many"))
+        cols = [F.col(c).alias(f"{mark}_{c}") for c in ("id", "sheet", "r1", "r2", "c1", "c2")]
+        return df.join(many, "id").select(*cols, F.col("many").alias(f"{mark}_many"), level("r1", "r2").alias(f"{mark}_lr"), level("c1", "c2").alias(f"{mark}_lc"))
+
+    w, r = side(writers, "w"), side(readers, "r")
+    levels = lambda d, m: d.select(f"{m}_lr", f"{m}_lc").distinct()  # noqa: E731  a row for each pair of powers of two
+
+    def tiled(d: DataFrame, m: str, other: DataFrame) -> DataFrame:
+        met = d.crossJoin(F.broadcast(other)).withColumn("tr", F.greatest("w_lr", "r_lr")).withColumn("tc", F.greatest("w_lc", "r_lc"))
+        tiles = lambda a, b, size: F.sequence(F.expr(f"shiftright(least({m}_{a}, {m}_{b}), {size})"), F.expr(f"shiftright(greatest({m}_{a}, {m}_{b}), {size})"))
+        return met.withColumn("at_r", F.explode(tiles("r1", "r2", "tr"))).withColumn("at_c", F.explode(tiles("c1", "c2", "tc"))).drop("tr", "tc")
+
+    a, b = tiled(w, "w", levels(r, "r")).alias("a"), tiled(r, "r", levels(w, "w")).alias("b")
+    keys = ["w_lr", "w_lc", "r_lr", "r_lc", "at_r", "at_c"]
+    same = reduce(lambda p, q: p & q, (F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys), F.col("w_sheet") == F.col("r_sheet"))
+    meet = (F.col("w_r1") <= F.col("r_r2")) & (F.col("r_r1") <= F.col("w_r2")) & (F.col("w_c1") <= F.col("r_c2")) & (F.col("r_c1") <= F.col("w_c2"))
+    corner = F.expr("shiftright(greatest(w_r1, r_r1), greatest(a.w_lr, a.r_lr)) = a.at_r") & F.expr("shiftright(greatest(w_c1, r_c1), greatest(a.w_lc, a.r_lc)) = a.at_c")
+    found = a.join(b, same & meet & corner).select(F.col("w_id").alias("source"), F.col("r_id").alias("target"), (F.col("w_many") | F.col("r_many")).alias("many"))
+    return found.where("not many").drop("many").unionByName(found.where("many").drop("many").distinct())
 
 
 def interval_sweep(old: DataFrame, new: DataFrame, group: list[str], key: str) -> DataFrame:

@@ -311,3 +311,25 @@ def test_rounds_never_end_silently(spark):
     with pytest.raises(RuntimeError):
         J.reachable(chain, start, most=3)
     assert J.reachable(chain, start).count() == 10
+
+
+def test_overlaps_brute(spark):
+    """Rectangles of all sizes, reversed, negative and null ones, ids with several; the join has tiles in its keys."""
+    from gridloom.operators import joins as J
+
+    rng = random.Random(5)
+
+    def make(n):
+        rows = []
+        for _ in range(n):
+            r, c = rng.randint(-40, 200), rng.randint(1, 60)
+            rows.append((rng.randint(1, n * 2 // 3), rng.choice(["s", "t", None]), rng.choice([r, r, r, None]), r + rng.choice([0, 0, 1, 5, 150, -3]), c, c + rng.choice([0, 2, 40])))
+        return rows
+
+    w, x = make(120), make(120)
+    want = {(a[0], b[0]) for a in w for b in x if None not in (*a, *b) and a[1] == b[1] and a[2] <= b[3] and b[2] <= a[3] and a[4] <= b[5] and b[4] <= a[5]}
+    frame = lambda rows: spark.createDataFrame(rows, "id long, sheet string, r1 int, r2 int, c1 int, c2 int").coalesce(1)
+    found = J.overlap_edges(frame(w), frame(x))
+    assert "at_r" in found._jdf.queryExecution().optimizedPlan().toString()
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 40
