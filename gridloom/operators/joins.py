@@ -26,13 +26,36 @@ def hlookup(df: DataFrame, key: Column, header_row: DataFrame, columns: list[str
     return vlookup(df, key, pairs, F.col("name"), F.col("at"), {"value": row})
 
 
+#: Ranges of keys of an as-of lookup without groups.
+RANGES = 64
+
+
+def _range_of(key: Column, bounds: list[float]) -> Column:
+    """How many of the sorted ``bounds`` a key reaches, by halving; 0 for null."""
+    if not bounds:
+        return F.lit(0)
+    half = len(bounds) // 2
+    return F.when(key >= bounds[half], _range_of(key, bounds[half + 1:]) + (half + 1)).otherwise(_range_of(key, bounds[:half]))
+
+
 def as_of(df: DataFrame, key: str, table: DataFrame, table_key: str, value: str, group: list[str] = ()) -> DataFrame:
     """The value of the last table row whose key is at most ``key``: union, then the last non-null value in key order. One shuffle, no
-    range join, linear in both sides; without ``group`` all rows are one ordered partition, for tables of a sheet's size."""
+    range join, linear in both sides. Without ``group``, ``RANGES`` ranges of keys with about the same number of rows are the groups: each begins with the last value before it."""
     names = df.columns
     left = df.withColumn("__k", F.col(key).cast("double")).withColumn("__side", F.lit(1)).withColumn("__v", F.lit(None).cast(table.schema[value].dataType))
     right = table.select(*group, F.col(table_key).cast("double").alias("__k"), F.lit(0).alias("__side"), F.col(value).alias("__v")).where("__k is not null")
-    w = Window.partitionBy(*group).orderBy("__k", "__side").rowsBetween(Window.unboundedPreceding, 0)
+    by = list(group)
+    if not by:
+        keys = left.select("__k").unionByName(right.select("__k")).where("__k is not null and not isnan(__k)")
+        cuts = keys.agg(F.percentile_approx("__k", [i / RANGES for i in range(1, RANGES)], 10_000)).first()[0]  # one row
+        bounds = sorted(set(cuts or ()))
+        by = ["__range"]
+        left, right = (d.withColumn("__range", _range_of(F.col("__k"), bounds)) for d in (left, right))
+        last = right.where("__v is not null").groupBy("__range").agg(F.max_by(F.struct("__v"), "__k").alias("last"))  # a row for each range
+        begin = last.select(F.explode(F.sequence(F.col("__range") + 1, F.lit(len(bounds) + 1))).alias("to"), "__range", "last").where(F.col("to") <= len(bounds))
+        begin = begin.groupBy(F.col("to").alias("__range")).agg(F.max_by("last", "__range")["__v"].alias("__v"))
+        right = right.unionByName(begin.select(F.lit(float("-inf")).alias("__k"), F.lit(-1).alias("__side"), "__v", "__range"))
+    w = Window.partitionBy(*by).orderBy("__k", "__side").rowsBetween(Window.unboundedPreceding, 0)
     return left.unionByName(right, allowMissingColumns=True).withColumn(value, F.last("__v", ignorenulls=True).over(w)).where("__side = 1").select(*names, value)
 
 

@@ -333,3 +333,16 @@ def test_overlaps_brute(spark):
     assert "at_r" in found._jdf.queryExecution().optimizedPlan().toString()
     got = [tuple(r) for r in found.collect()]
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 40
+
+
+def test_as_of_in_ranges(spark):
+    """No task sees all keys; values reach over ranges that have none of their own, and nulls, infinities and ties are as before."""
+    from gridloom.operators import joins as J
+
+    rng = random.Random(7)
+    left = [(i, rng.choice([None, float("-inf"), float("inf"), -5.0, 3.0, *[rng.uniform(0, 100) for _ in range(20)]])) for i in range(600)]
+    table = {float(k): rng.choice([None, rng.random()]) for k in (2, 3, 50, 51, 97)}
+    want = {i: None if x is None else next((table[k] for k in sorted(table, reverse=True) if k <= x and table[k] is not None), None) for i, x in left}
+    found = J.as_of(spark.createDataFrame(left, "i int, x double").coalesce(2), "x", spark.createDataFrame(list(table.items()), "k double, v double").coalesce(1), "k", "v")
+    assert {r["i"]: r["v"] for r in found.collect()} == want
+    assert "SinglePartition" not in found._jdf.queryExecution().executedPlan().toString()
