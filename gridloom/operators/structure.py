@@ -39,17 +39,18 @@ def spill(anchors: DataFrame, values: str = "values") -> DataFrame:
 
 def depths(edges: DataFrame, most: int = 10_000) -> DataFrame:
     """(node, depth): the longest path to each node of an acyclic graph (source, target), sources of nothing else at 0. Rounds move a frontier of nodes whose depth rose; each is
-    checkpointed. A graph with a cycle fails after ``most`` rounds, or as soon as there are more rounds than nodes."""
+    checkpointed, and joins by a shuffle: a broadcast would pass through the driver in every round. A graph with a cycle fails after ``most`` rounds, or as soon as there are more rounds than nodes."""
     edges = edges.select("source", "target").where("source <> target").distinct().checkpoint()
     nodes = edges.select(F.explode(F.array("source", "target")).alias("node")).distinct()
-    best = nodes.withColumn("depth", F.lit(0)).checkpoint()
-    limit, front = min(most, best.count()), best
+    best = nodes.select("node", F.lit(0).alias("depth"), F.lit(-1).alias("__was")).checkpoint()
+    limit = min(most, best.count())
     for _ in range(limit + 1):
-        further = front.join(edges, F.col("node") == F.col("source")).groupBy(F.col("target").alias("node")).agg((F.max("depth") + 1).alias("__d"))
-        front = best.join(further, "node").where(F.col("__d") > F.col("depth")).select("node", F.col("__d").alias("depth")).checkpoint()
+        front = best.where(F.col("depth") > F.col("__was")).select(F.col("node").alias("source"), "depth")
         if front.isEmpty():
-            return best
-        best = best.join(front.withColumnRenamed("depth", "__d"), "node", "left").select("node", F.coalesce("__d", "depth").alias("depth")).checkpoint()
+            return best.select("node", "depth")
+        further = edges.join(front.hint("merge"), "source").select(F.col("target").alias("node"), (F.col("depth") + 1).alias("depth"), F.lit(None).cast("int").alias("__was"))
+        kept = best.select("node", "depth", F.col("depth").alias("__was"))
+        best = kept.unionByName(further).groupBy("node").agg(F.max("depth").alias("depth"), F.max("__was").alias("__was")).checkpoint()
     raise ValueError("the graph has a cycle, or paths that are too long")
 
 

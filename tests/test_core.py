@@ -346,3 +346,24 @@ def test_as_of_in_ranges(spark):
     found = J.as_of(spark.createDataFrame(left, "i int, x double").coalesce(2), "x", spark.createDataFrame(list(table.items()), "k double, v double").coalesce(1), "k", "v")
     assert {r["i"]: r["v"] for r in found.collect()} == want
     assert "SinglePartition" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_depths_send_nothing(spark):
+    """Longest paths beside brute force; no round broadcasts a table, which would pass through the driver."""
+    from gridloom.checkpoints import ensure_checkpoints
+    from gridloom.operators import structure as T
+    from pyspark.sql import DataFrame
+
+    ensure_checkpoints(spark)
+    pairs, plans = [(k // 2, k) for k in range(2, 40)] + [(k // 3, k) for k in range(3, 40)] + [(5, 5)], []
+    want = dict.fromkeys({x for p in pairs for x in p}, 0)
+    for k in range(1, 40):
+        want[k] = max([want[s] + 1 for s, t in pairs if t == k and s < k], default=0)
+    edges = spark.createDataFrame(pairs, "source long, target long").coalesce(1)
+    kind, plain = type(edges), type(edges).checkpoint
+    try:
+        kind.checkpoint = lambda d, *a: (plain(d, *a), plans.append(d._jdf.queryExecution().executedPlan().toString()))[0]
+        got = T.depths(edges)
+    finally:
+        kind.checkpoint = plain
+    assert {r["node"]: r["depth"] for r in got.collect()} == want and len(plans) > 3 and not any("Broadcast" in p for p in plans)
