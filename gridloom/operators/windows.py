@@ -74,14 +74,36 @@ def islands(df: DataFrame, group: list[str], at: str) -> DataFrame:
     return df.select(*group, at).distinct().withColumn("__g", F.col(at) - F.row_number().over(w)).groupBy(*group, "__g").agg(F.min(at).alias("lo"), F.max(at).alias("hi"), F.count(F.lit(1)).alias("n")).drop("__g")
 
 
-def rectangles(cells: DataFrame, group: list[str]) -> DataFrame:
-    """Rectangles (r1, r2, c1, c2) of cells (row, col): columns' runs with the same rows beside one another are one rectangle."""
-    runs = islands(cells, [*group, "col"], "row")
+def column_runs(cells: DataFrame, group: list[str]) -> DataFrame:
+    """Runs (group, col, lo, hi) of rows of cells (row, col), none longer than 64: rows are bits of a number for each 64 rows of a column, so that what is shuffled and sorted after this is a 64th
+    of the cells, in parts of any size. A cell that is there twice counts once."""
+    word = F.bit_or(F.expr("shiftleft(1L, cast(row & 63 as int))")).alias("__bits")
+    words = cells.groupBy(*group, "col", F.shiftright("row", 6).alias("__at")).agg(word)
+    places = lambda bits: F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.getbit(bits, i) == 1)
+    bits = F.col("__bits")
+    first, last = bits.bitwiseAND(F.bitwise_not(F.shiftleft(bits, 1))), bits.bitwiseAND(F.bitwise_not(F.shiftrightunsigned(bits, 1)))
+    whole = F.array(F.struct(F.lit(0).alias("a"), F.lit(63).alias("b")))
+    runs = F.when(bits == -1, whole).otherwise(F.zip_with(places(first), places(last), lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
+    base = F.col("__at") * 64
+    return words.select(*group, "col", "__at", F.explode(runs).alias("__r")).select(*group, "col", (base + F.col("__r.a")).alias("lo"), (base + F.col("__r.b")).alias("hi"))
+
+
+def run_rectangles(runs: DataFrame, group: list[str]) -> DataFrame:
+    """Rectangles (r1, r2, c1, c2) of runs (col, lo, hi), which may touch and overlap."""
+    w = Window.partitionBy(*group, "col").orderBy("lo")
+    apart = F.when(F.col("lo") <= F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1)) + 1, 0).otherwise(1)
+    joined = runs.select(*group, "col", "lo", "hi").withColumn("__n", apart).withColumn("__g", F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = joined.groupBy(*group, "col", "__g").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("__g")
     w = Window.partitionBy(*group, "lo", "hi").orderBy("col")
-    side = runs.withColumn("__g", F.col("col") - F.row_number().over(w)).groupBy(*group, "lo", "hi", "__g").agg(F.min("col").alias("c1"), F.max("col").alias("c2"))
+    side = whole.withColumn("__g", F.col("col") - F.row_number().over(w)).groupBy(*group, "lo", "hi", "__g").agg(F.min("col").alias("c1"), F.max("col").alias("c2"))
     return side.select(*group, F.col("lo").alias("r1"), F.col("hi").alias("r2"), "c1", "c2")
 
 
+def rectangles(cells: DataFrame, group: list[str]) -> DataFrame:
+    """Rectangles (r1, r2, c1, c2) of cells (row, col): columns' runs with the same rows beside one another are one rectangle."""
+    return run_rectangles(column_runs(cells, group), group)
+
+
 def nearest_label(df: DataFrame, group: list[str], order: str, text: str, name: str, most: int = 5) -> DataFrame:
     """The nearest non-null text in the ``most`` rows above."""
     return df.withColumn(name, F.last(text, ignorenulls=True).over(Window.partitionBy(*group).orderBy(order).rowsBetween(-most, -1)))

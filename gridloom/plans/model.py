@@ -1,26 +1,39 @@
 """From cells to a model: templates (one per copied formula), blocks (rectangles of a template), their graph, roles, rules and inputs.
 
 Cells are a DataFrame (sheet, row, col, formula, c, format). Keys, islands and overlaps are computed in Spark; what reaches the driver is
-one row per template, block and edge: some hundreds for a workbook of a million cells.
+one row per template, block and edge: some hundreds for a workbook of a million cells. One pass over the cells makes runs of rows by template,
+of which the rest is derived; a second one fetches a formula of each template.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from ..operators.joins import overlap_edges
-from ..operators.windows import rectangles
+from ..operators.windows import column_runs, run_rectangles
 from . import formula as L
 
+#: Texts in quotes, and cell references that stand alone: not the end of a name, a number such as 1E5 or a table's column.
+_KEY = r""""[^"]*(?:""[^"]*)*"|(?<![\w.\\\[\x{80}-\x{10FFFF}])(?:(?:'[^']*(?:''[^']*)*'|[A-Za-z_\\][\w.\\]*)!)?\$?[A-Za-z]{1,3}\$?[0-9]+(?![\w(.\x{80}-\x{10FFFF}])"""
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
-@F.pandas_udf(StringType())
-def template_key(formula: pd.Series, row: pd.Series, col: pd.Series) -> pd.Series:
-    return pd.Series([L.fast_key(f, r, c) for f, r, c in zip(formula, row, col)])
+
+def template_key(formula: Column, row: Column, col: Column) -> Column:
+    """What copies of one formula share, without parsing, as an array: the formula with a mark at each reference and text, then these, cell references made relative. Null for null."""
+
+    words = F.regexp_extract_all(formula, F.lit(_KEY), F.lit(0))
+    words = F.transform(words, lambda w: F.struct(w.alias("w"), F.substring_index(w, "!", -1).alias("ref")))  # each step binds what the next names several times
+    words = F.transform(words, lambda x: F.struct(x["w"].alias("w"), x["ref"].alias("ref"), F.translate(x["ref"], _LETTERS[26:] + "$0123456789", _LETTERS[:26]).alias("letters"), F.translate(x["ref"], "$" + _LETTERS, "").try_cast("long").alias("n")))
+    at = lambda x, k: F.ascii(F.substring(x["letters"], k, 1)) - 64
+    number = lambda x: F.when(F.length(x["letters"]) == 1, at(x, 1)).when(F.length(x["letters"]) == 2, at(x, 1) * 26 + at(x, 2)).otherwise(at(x, 1) * 676 + at(x, 2) * 26 + at(x, 3))
+    place = lambda fixed, n, home: F.when(fixed, n.cast("string")).otherwise(F.concat(F.lit("["), (n - home).cast("string"), F.lit("]")))
+    sheet = lambda x: F.substring(x["w"], F.lit(1), F.length(x["w"]) - F.length(x["ref"]))
+    said = lambda x: F.concat(sheet(x), F.lit("R"), place(F.locate("$", x["ref"], 2) > 0, x["n"], row), F.lit("C"), place(F.startswith(x["ref"], F.lit("$")), number(x), col))
+    relative = lambda x: F.when(F.startswith(x["w"], F.lit('"')), x["w"]).otherwise(F.coalesce(said(x), x["w"]))
+    return F.concat(F.array(F.regexp_replace(formula, _KEY, "\x01")), F.transform(words, relative))
 
 
 @dataclass(frozen=True)
@@ -187,21 +200,25 @@ def derive(cells: DataFrame, names: dict[str, str] | None = None, scope: list[st
     spark = cells.sparkSession
     if scope is not None:
         cells = cells.where(F.col("sheet").isin(*scope))
-    cells = cells.cache()
     trees = {k.lower(): L.parse(v) for k, v in (names or {}).items()}
-    used = {r["sheet"]: (r["r"], r["c"]) for r in cells.groupBy("sheet").agg(F.max("row").alias("r"), F.max("col").alias("c")).collect()}
-    keyed = cells.where("formula is not null").select("sheet", "row", "col", "formula", template_key("formula", "row", "col").alias("key"))
-    groups = keyed.groupBy("sheet", "key").agg(F.min(F.struct("row", "col", "formula")).alias("first")).collect()  # one row for each template
+    key = template_key(F.col("formula"), F.col("row"), F.col("col"))
+    runs = column_runs(cells.select("sheet", "row", "col", key.alias("key")), ["sheet", "key"]).persist()  # a row for at most 64 cells; constants have no key
+    used = {r["sheet"]: (r["r"], r["c"]) for r in runs.groupBy("sheet").agg(F.max("hi").alias("r"), F.max("col").alias("c")).collect()}
+    formulas = runs.where("key is not null")
+    first = formulas.groupBy("sheet", "key").agg(F.min(F.struct("lo", "col")).alias("first")).select("sheet", F.col("first.lo").alias("row"), F.col("first.col").alias("col"), F.col("key").alias("__key"))  # one row for each template
+    groups = cells.where("formula is not null").select("sheet", "row", "col", "formula").join(F.broadcast(first), ["sheet", "row", "col"]).withColumn("key", key).where("key = __key").drop("__key").collect()
     canonical, parsed = [], {}
-    for g in groups:
-        tree = L.parse(g["first"]["formula"], g["first"]["row"], g["first"]["col"], g["sheet"])
+    for g in sorted(groups, key=lambda g: (g["sheet"], g["row"], g["col"], g["formula"])):
+        tree = L.parse(g["formula"], g["row"], g["col"], g["sheet"])
         text = L.render(tree)
-        parsed.setdefault((g["sheet"], text), (tree, "=" + g["first"]["formula"].removeprefix("=")))
+        parsed.setdefault((g["sheet"], text), (tree, "=" + g["formula"].removeprefix("=")))
         canonical.append((g["sheet"], g["key"], text))
     if not canonical:
+        runs.unpersist()
         return Model([], set(), [], [], trees, used)
-    merged = keyed.join(F.broadcast(spark.createDataFrame(canonical, "sheet string, key string, text string")), ["sheet", "key"])  # one row for each template
-    rects = rectangles(merged.select("sheet", "text", "row", "col"), ["sheet", "text"]).orderBy("sheet", "c1", "r1").collect()
+    texts = spark.createDataFrame(list({(s, tuple(k)): (s, k, text) for s, k, text in canonical}.values()), "sheet string, key array<string>, text string")
+    merged = formulas.join(F.broadcast(texts), ["sheet", "key"])  # one row for each template
+    rects = run_rectangles(merged.select("sheet", "text", "col", "lo", "hi"), ["sheet", "text"]).orderBy("sheet", "c1", "r1").collect()
     blocks = []
     for i, r in enumerate(rects):
         tree, sample = parsed[r["sheet"], r["text"]]
@@ -216,9 +233,10 @@ def derive(cells: DataFrame, names: dict[str, str] | None = None, scope: list[st
     model = Model(blocks, {(a, b) for a, b in edges if a != b}, order, cycles, trees, used)
     if reads:
         spots = as_frame(reads).select("sheet", "r1", "r2", "c1", "c2").distinct()
-        constants = cells.where("formula is null").select(F.col("sheet").alias("s"), "row", "col")
-        hit = constants.join(F.broadcast(spots), (F.col("s") == F.col("sheet")) & F.col("row").between(F.col("r1"), F.col("r2")) & F.col("col").between(F.col("c1"), F.col("c2"))).select("sheet", "row", "col").distinct()
-        model.inputs = [Rect(r["sheet"], r["r1"], r["r2"], r["c1"], r["c2"]) for r in rectangles(hit, ["sheet"]).orderBy("sheet", "c1", "r1").collect()]
+        constants = runs.where("key is null").select(F.col("sheet").alias("s"), "col", "lo", "hi")
+        meets = (F.col("s") == F.col("sheet")) & (F.col("lo") <= F.col("r2")) & (F.col("r1") <= F.col("hi")) & F.col("col").between(F.col("c1"), F.col("c2"))
+        hit = constants.join(F.broadcast(spots), meets).select("sheet", "col", F.greatest("lo", "r1").alias("lo"), F.least("hi", "r2").alias("hi"))
+        model.inputs = [Rect(r["sheet"], r["r1"], r["r2"], r["c1"], r["c2"]) for r in run_rectangles(hit, ["sheet"]).orderBy("sheet", "c1", "r1").collect()]
     read = {a for a, _ in model.edges}
     for sheet in used:
         own = [b for b in blocks if b.rect.sheet == sheet]
@@ -226,7 +244,7 @@ def derive(cells: DataFrame, names: dict[str, str] | None = None, scope: list[st
         model.roles[sheet] = (roles or {}).get(sheet) or (("reference" if looked else "input") if not own else "output" if not any(b.id in read for b in own) else "calculation")
     for b in blocks:
         b.kind = "output" if b.id not in read or model.roles[b.rect.sheet] == "output" else "calculation"
-    cells.unpersist()
+    runs.unpersist()
     return model
 
 

@@ -23,6 +23,7 @@ def workbook(spark, d, changed_from: int | None = None, columns: str = "CDEFGHI"
     """Orders: A price (whole), B priority, formulas in ``columns``; Codes: points of three priorities; Rates: a rate, a threshold; Totals: three formulas. From row ``changed_from`` on, column C has another rate."""
     o = t(spark, d, "orders").select((F.col("o_orderkey") + 2).cast("int").alias("row"), F.round("o_totalprice").alias("price"), F.col("o_orderpriority").alias("priority"))
     n = o.agg(F.max("row")).first()[0]  # one row
+    o = o.repartitionByRange(1 + n // 50_000, "row")  # a file of few row groups would make all cells in as few tasks
 
     def formula(text: str):
         parts = [F.lit(text)]

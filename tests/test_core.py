@@ -367,3 +367,24 @@ def test_depths_send_nothing(spark):
     finally:
         kind.checkpoint = plain
     assert {r["node"]: r["depth"] for r in got.collect()} == want and len(plans) > 3 and not any("Broadcast" in p for p in plans)
+
+def test_template_key_and_runs(spark):
+    """Copies share a key, names that end like references, numbers and table columns don't; runs cross the bounds of 64 rows, and a hole parts them."""
+    from gridloom.operators.windows import rectangles
+    from gridloom.plans.model import template_key
+
+    rows = [('A1&"A1"&$B$2&S!aa3', 1, 3), ('A7&"A1"&$B$2&S!AA9', 7, 3), ("Rate12+1E5", 1, 1), ("Rate13+1E6", 2, 1), ("T[Col2]", 1, 1), ("T[Col3]", 2, 1), (None, 1, 1), ("A1&'it''s'!B$4&LOG10(2)", 1, 2), ("B1&'it''s'!C$4&LOG10(2)", 1, 3)]
+    keys = [r[0] for r in spark.createDataFrame(rows, "f string, r int, c int").coalesce(1).select(template_key(F.col("f"), F.col("r"), F.col("c"))).collect()]
+    assert keys[0] == keys[1] and keys[2] != keys[3] and keys[4] != keys[5] and keys[6] is None and keys[7] == keys[8]
+    cells = [(r, c) for c in (3, 4) for r in range(2, 200) if r != 130] + [(63, 9), (64, 9), (64, 9)]
+    found = rectangles(spark.createDataFrame([("g", *x) for x in cells], "g string, row int, col int"), ["g"]).collect()
+    assert {tuple(r) for r in found} == {("g", 2, 129, 3, 4), ("g", 131, 199, 3, 4), ("g", 63, 64, 9, 9)}
+
+
+def test_model_sorts_no_cells(spark):
+    """Windows see runs of cells, and a file of one part becomes several."""
+    from gridloom import queries_engine as E
+
+    plan = E.workbook(spark, "/root/testdata/sf0.1")
+    assert plan.where("sheet = 'Orders'").select(F.spark_partition_id().alias("p")).distinct().count() == 4
+    assert [b.rect.a1() for b in derive(plan, E.NAMES).blocks] == [f"Orders!{c}2:{c}150001" for c in "CDEFGHI"] + ["Totals!A1", "Totals!A2", "Totals!A3"]
