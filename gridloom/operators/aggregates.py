@@ -31,6 +31,14 @@ def range_summary(order: Column, c: Column) -> Column:
     )
 
 
+def summary_of_parts(at: Column, part: Column) -> Column:
+    """The ``range_summary`` of a range from those of its parts, in the parts' order ``at``. Parts of fixed places make the same bits on any partitioning, and no task holds a whole range."""
+    return F.struct(
+        ordered_sum(at, part["sum"]).alias("sum"), F.sum(part["count"]).alias("count"), F.min(part["min"]).alias("min"), F.max(part["max"]).alias("max"),
+        F.min_by(part["error"], F.when(part["error"].isNotNull(), at)).alias("error"), F.sum(part["filled"]).alias("filled"), F.bool_and(part["every"]).alias("every"), F.bool_or(part["some"]).alias("some"),
+    )
+
+
 def count_if(*masks: Column) -> Column:
     return F.count_if(reduce(lambda a, b: a & b, masks)).cast("long")
 

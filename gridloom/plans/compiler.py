@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from ..functions import values as V
 from ..functions.criteria import criterion_mask, parse_criterion
-from ..operators.aggregates import range_summary
+from ..operators.aggregates import range_summary, summary_of_parts
 from . import formula as L
 from .model import Block, Model, Rect, footprint
 
@@ -26,6 +26,19 @@ class NotCompiled(Exception):
 
 
 AGGREGATES = {"SUM", "COUNT", "MAX", "MIN", "AVERAGE"}
+#: Ranges of more places are summed up in parts of about so many places, each in order, and the parts in order.
+PART = 65_536
+
+
+def summed(table: DataFrame, rect: Rect, i: str, j: str, c: Column, name: str, hits: Column | None = None, by: list[str] = ()) -> DataFrame:
+    """A row (for each ``by``) with the ``range_summary`` of cells ``c`` at rows ``i`` and columns ``j`` as ``name``.of, and how many ``hits`` there are."""
+    here = F.struct((F.lit(0) if hits is None else F.count_if(hits)).cast("long").alias("hits"), range_summary(F.struct(i, j), c).alias("of")).alias(name)
+    high, wide = rect.r2 - rect.r1 + 1, rect.c2 - rect.c1 + 1
+    if high * wide <= PART:
+        return table.groupBy(*by).agg(here)
+    parts = table.groupBy(*by, F.floor(F.col(i) / max(PART // wide, 1)).alias("__at")).agg(here)
+    p = F.col(name)
+    return parts.groupBy(*by).agg(F.struct(F.coalesce(F.sum(p["hits"]), F.lit(0)).alias("hits"), summary_of_parts(F.col("__at"), p["of"]).alias("of")).alias(name))
 
 
 class Compiler:
@@ -118,8 +131,8 @@ class Compiler:
             rect = self.fixed(ref)
             if rect is None:
                 raise NotCompiled("an empty range")
-            self.one(self.part(rect).agg(range_summary(F.struct("row", "col"), F.col("c")).alias(name)))
-            return F.col(name)
+            self.one(summed(self.part(rect), rect, "row", "col", F.col("c"), name))
+            return F.col(name)["of"]
         except NotCompiled:
             rect = footprint(ref, self.block.rect, self.model.used)
             if rect is None or ref.top is None or ref.left is None or ref.left != ref.right:
@@ -203,8 +216,7 @@ class Compiler:
         none = reduce(lambda p, q: p & q, (t.isNull() for t in truths))
         return F.coalesce(*errors, F.when(none, V.error("#VALUE!")).otherwise(V.boolean(fold)))
 
-    def aligned(self, ranges: list) -> DataFrame:
-        """Ranges of one shape side by side: a row for each place (i, j), its cells c0, c1 ...; places without a cell are empty."""
+    def rects(self, ranges: list) -> list[Rect]:
         rects = []
         for x in ranges:
             if isinstance(x, L.Cell):
@@ -212,7 +224,17 @@ class Compiler:
             if not isinstance(x, L.Range):
                 raise NotCompiled("no range")
             rects.append(self.fixed(x) or Rect(x.sheet or self.block.rect.sheet, 1, 1, 1, 1))
-        rows, cols = max(r.r2 - r.r1 + 1 for r in rects), max(r.c2 - r.c1 + 1 for r in rects)
+        return rects
+
+    def shape(self, ranges: list) -> Rect:
+        """The places (i, j) from 0 that ranges side by side have."""
+        rects = self.rects(ranges)
+        return Rect("", 0, max(r.r2 - r.r1 for r in rects), 0, max(r.c2 - r.c1 for r in rects))
+
+    def aligned(self, ranges: list) -> DataFrame:
+        """Ranges of one shape side by side: a row for each place (i, j), its cells c0, c1 ...; places without a cell are empty."""
+        rects, shape = self.rects(ranges), self.shape(ranges)
+        rows, cols = shape.r2 + 1, shape.c2 + 1
         spark = self.state.sparkSession
         out = spark.range(rows * cols).select(F.floor(F.col("id") / cols).cast("int").alias("i"), (F.col("id") % cols).cast("int").alias("j"))
         for k, r in enumerate(rects):
@@ -239,15 +261,15 @@ class Compiler:
                 masks.append(moving_mask(F.col(f"c{k}"), F.col(key)))
         hit = reduce(lambda p, q: p & q, masks)
         target = F.col("c1") if name in ("SUMIF", "AVERAGEIF") else F.col("c0")
-        made = F.struct(F.count_if(F.coalesce(hit, F.lit(False))).alias("hits"), range_summary(F.struct("i", "j"), F.when(hit, target).otherwise(V.cell(V.EMPTY))).alias("of"))
-        result = self.name()
+        result, shape = self.name(), self.shape(ranges)
+        made = lambda d, by: summed(d, shape, "i", "j", F.when(hit, target).otherwise(V.cell(V.EMPTY)), result, F.coalesce(hit, F.lit(False)), by)
         if moving:
             distinct = self.frame.select(*moving).distinct()
-            got = distinct.crossJoin(table).groupBy(*moving).agg(made.alias(result))  # each distinct criterion meets the range once
+            got = made(distinct.crossJoin(table), moving)  # each distinct criterion meets the range once
             renamed = got.select(*(F.col(m).alias(f"__{m}") for m in moving), result)
             self.frame = self.frame.join(renamed, reduce(lambda p, q: p & q, (F.col(m).eqNullSafe(F.col(f"__{m}")) for m in moving)), "left").drop(*(f"__{m}" for m in moving))
         else:
-            self.one(table.agg(made.alias(result)))
+            self.one(made(table, []))
         r = F.col(result)
         if name.startswith("COUNT"):
             return V.number(r["hits"].cast("double"))
@@ -284,8 +306,9 @@ class Compiler:
         cells = [F.col(f"c{k}") for k in range(len(args))]
         product = reduce(lambda p, q: p * q, (F.when(c["k"].isin(V.NUMBER, V.BOOL), c["n"]).otherwise(0.0) for c in cells))
         bad = reduce(lambda p, q: p | q, (c["k"] == V.ERROR for c in cells))
-        self.one(table.agg(F.struct(range_summary(F.struct("i", "j"), V.cell(V.NUMBER, n=product))["sum"].alias("sum"), F.bool_or(bad).alias("bad")).alias(result)))
-        return F.when(F.col(f"{result}.bad"), V.error("#VALUE!")).otherwise(V.number(F.col(f"{result}.sum")))
+        self.one(summed(table, self.shape(list(args)), "i", "j", V.cell(V.NUMBER, n=product), result, bad))
+        r = F.col(result)
+        return F.when(r["hits"] > 0, V.error("#VALUE!")).otherwise(V.number(r["of"]["sum"]))
 
     def lookup(self, across: bool, args) -> Column:
         if len(args) < 3 or not isinstance(args[1], L.Range) or not isinstance(args[2], L.Number) or len(args) > 3 and not isinstance(args[3], (L.Bool, L.Number, L.Empty)):

@@ -388,3 +388,23 @@ def test_model_sorts_no_cells(spark):
     plan = E.workbook(spark, "/root/testdata/sf0.1")
     assert plan.where("sheet = 'Orders'").select(F.spark_partition_id().alias("p")).distinct().count() == 4
     assert [b.rect.a1() for b in derive(plan, E.NAMES).blocks] == [f"Orders!{c}2:{c}150001" for c in "CDEFGHI"] + ["Totals!A1", "Totals!A2", "Totals!A3"]
+
+def test_wide_ranges_are_no_python_lists(spark, monkeypatch):
+    """Totals over more cells than a Python process may hold: Spark's aggregates in parts give the values, and lineage counts what it reads without fetching it."""
+    from gridloom.plans import compiler as C
+
+    monkeypatch.setattr(RR, "WIDE", 20)
+    monkeypatch.setattr(C, "PART", 16)
+    alone = RR.in_order
+    def few(state, blocks, model):
+        assert sum(RR.reads_of(b, model) for b in blocks) <= 20
+        return alone(state, blocks, model)
+    monkeypatch.setattr(RR, "in_order", few)
+    data = {("S", i, 1): float(i) for i in range(1, 101)} | {("S", i, 2): "x" if i % 3 else "y" for i in range(1, 101)}
+    data |= {("T", 1, 1): "=SUM(S!A1:A100)", ("T", 2, 1): '=COUNTIF(S!B1:B100,"x")', ("T", 3, 1): '=SUMIF(S!B1:B100,"y",S!A1:A100)', ("T", 4, 1): "=SUMPRODUCT(S!A1:A100,S!A1:A100)", ("T", 5, 1): '=IF(MAX(S!A1:A100)>T!A2,"more","less")'}
+    cells = cells_of(spark, data).coalesce(2)
+    m = derive(cells)
+    values = RR.run(cells, m).cache()
+    assert values_of(values) == {("T", 1, 1): 5050.0, ("T", 2, 1): 67.0, ("T", 3, 1): 1683.0, ("T", 4, 1): 338350.0, ("T", 5, 1): "more"}
+    got = RR.lineage(values, cells, m, "T!A5")
+    assert got["value"] == got["stored"] == "more" and got["decisions"][0][3] is True and [(r["reference"], r["cells"], len(r["values"])) for r in got["reads"]] == [("S!A1:A100", 100, 8), ("A2", 1, 1)]
