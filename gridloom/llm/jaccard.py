@@ -3,9 +3,10 @@
 Sets that are equal are one set from the start, so copies cost nothing. Two kinds of relations between sets then save work.
 
 *Lists skipped by position.* A set's prefix (the part that a similar set must share something of) is taken in one global order: n-grams of few documents
-first. An index list has the sets of one prefix n-gram with their sizes and the n-gram's positions in them, ordered by position, in blocks of ``BLOCK``
-rows. What two sets can share at most follows from sizes and positions, so a whole block is skipped where its ranges of sizes and positions leave too little. A pair
-goes on if it shares as many n-grams of the two prefixes as a pair of these sizes must; only such pairs are compared.
+first, by the sums of ``CELLS`` counters over all sets; else n-grams that dozens of documents have by chance would chain unrelated sets together. An index list has
+the sets of one prefix n-gram with their sizes and the n-gram's positions in them, ordered by position, in blocks of ``BLOCK`` rows. What two sets can share at
+most follows from sizes and positions, so a whole block is skipped where its ranges of sizes and positions leave too little. A pair goes on if it shares as many
+n-grams of the two prefixes as a pair of these sizes must; only such pairs are compared.
 
 *Answers derived from a similar set.* Sets that meet in a list of more than ``LONG`` rows form a group (near copies, mostly). A group gets a reference set: the
 n-grams that most of a sample of its sets have. Each set is compared with the reference once, and is known by its difference from there on: two sets of differences
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .runtime import blocks, discard, likely, materialise, ragged, text_buffer
+from .runtime import blocks, discard, likely, materialise, ragged, release, text_buffer
 from .segments import BLANKS, LOWER, Prefix, hash_segments, mix, word_ranges
 
 #: Lists of more sets than this are long: their sets form groups.
@@ -34,10 +35,10 @@ BLOCK = 8
 TASK = 1024
 #: Sets of a group that make its reference.
 SAMPLE = 16
-#: So many n-grams of most documents are ordered by their counts; the others come before them, by hash. It bounds the broadcast; the order decides cost only.
-FREQUENT = 200_000
-#: Rows of one n-gram that one task gathers when lists are made; more are dealt to several.
-GATHER = 50_000
+#: Cells that n-grams are counted in, by the first bits of their hashes, and parts in which the counts travel. Cells bound the broadcast (2 bytes each); the order decides cost only.
+CELLS, PARTS = 1 << 23, 16
+#: N-grams in cells of so many are dealt to several tasks when lists are made, by ``DEALT``.
+GATHER, DEALT = 50_000, 4096
 #: N-grams that are counted together in a task.
 COUNTED = 2_000_000
 #: Text that is held at once.
@@ -82,28 +83,38 @@ def least_in_prefixes(small, large, percent: int):
     return least_shared(small, large, percent) - _up(percent * large, 100) + 1
 
 
+def add_counts(cells: np.ndarray, ordered: np.ndarray) -> None:
+    """Counts sorted n-grams in ``cells``; a count stops at 65,535."""
+    at = cell_of(ordered, len(cells))
+    first = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else at
+    at, count = at[first], np.diff(np.append(first, len(at)))
+    cells[at] = np.minimum(cells[at] + count, 65_535)
+
+
+def cell_of(grams: np.ndarray, cells: int) -> np.ndarray:
+    """The cell of each n-gram; ``cells`` is a power of two."""
+    return (grams >> np.uint64(65 - cells.bit_length())).astype(np.int64)
+
+
 def _summary(docs: DataFrame, n: int) -> DataFrame:
-    """A row of each document (its set's size and digests), and rows (n-gram, count) of n-grams that occur in several documents near each other."""
-    fields = pa.schema([("row", pa.int64()), ("doc", pa.int64()), ("n", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64()), ("mark", pa.int64()), ("gram", pa.int64()), ("count", pa.int64())])
+    """A row of each document (its set's size and digests), and rows (part, cells) of how many n-grams of a task's sets are in each cell."""
+    fields = pa.schema([("row", pa.int64()), ("doc", pa.int64()), ("n", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64()), ("mark", pa.int64()), ("part", pa.int32()), ("cells", pa.binary())])
+    total, parts = CELLS, PARTS
 
     def run(batches):
         row = TaskContext.get().partitionId() << 40
-        held, size = np.zeros(COUNTED, np.uint64), 0
+        held, size, cells = np.zeros(COUNTED, np.uint64), 0, np.zeros(total, np.uint16)
 
         def counted():
             here = held[:size]
             here.sort()
-            first = np.flatnonzero(np.append(True, here[1:] != here[:-1])) if size else np.zeros(0, np.int64)
-            count = np.diff(np.append(first, size))
-            many = count > 1
-            k = int(many.sum())
-            return pa.RecordBatch.from_arrays([*(pa.nulls(k, f.type) for f in list(fields)[:6]), pa.array(here[first[many]].view(np.int64)), pa.array(count[many])], schema=fields)
+            add_counts(cells, here)
 
         for batch in blocks(batches, "text", HELD):
             each = sets(batch.column("text"), n)
             one, two = digests(each)
             k = len(each)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + k)), batch.column("doc"), pa.array([len(s) for s in each], pa.int32()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), batch.column("mark"), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], schema=fields)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + k)), batch.column("doc"), pa.array([len(s) for s in each], pa.int32()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), batch.column("mark"), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], schema=fields)
             row += k
             for s in each:
                 while len(s):
@@ -111,37 +122,42 @@ def _summary(docs: DataFrame, n: int) -> DataFrame:
                     held[size : size + len(part)] = part
                     size += len(part)
                     if size == COUNTED:
-                        yield counted()
+                        counted()
                         size = 0
-        yield counted()
+        counted()
+        for k, part in enumerate(np.split(cells, parts)):
+            if part.any():
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(1, f.type) for f in list(fields)[:6]), pa.array([k], pa.int32()), pa.array([pa.compress(part.tobytes(), "zstd", asbytes=True)])], schema=fields)
 
-    return docs.mapInArrow(run, "row long, doc long, n int, d1 long, d2 long, mark long, gram long, count long")
+    return docs.mapInArrow(run, "row long, doc long, n int, d1 long, d2 long, mark long, part int, cells binary")
 
 
-def _frequent(counted: DataFrame, most: int = 10_000) -> tuple[np.ndarray, np.ndarray]:
-    """N-grams and counts of all that occur at least so often that there are no more than ``FREQUENT`` of them. The driver gets the numbers of n-grams by count (above ``most`` they are
-    one row), then these n-grams."""
-    level = F.least("count", F.lit(most))
-    least, total = None, 0
-    for row in counted.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("level")).collect():
-        total += row["k"]
-        if total > FREQUENT:
-            break
-        least = row["level"]
-    if least is None:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    found = counted.where(level >= least).toPandas()
-    return found["gram"].to_numpy(np.int64).view(np.uint64), found["count"].to_numpy(np.int64)
+def _counts(parts: DataFrame) -> np.ndarray:
+    """The sum of all tasks' cells. The driver gets 2 bytes for each cell at most."""
+    fields, size = pa.schema([("part", pa.int32()), ("cells", pa.binary())]), CELLS // PARTS
+
+    def run(batches):
+        found: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, packed in zip(batch.column("part").to_pylist(), batch.column("cells")):
+                here = np.frombuffer(pa.decompress(packed.as_buffer(), size * 2, "zstd"), np.uint16)
+                found[k] = np.minimum(here + found.get(k, np.zeros(size, np.int64)), 65_535)
+        for k, sums in found.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([pa.compress(sums.astype(np.uint16).tobytes(), "zstd", asbytes=True)])], schema=fields)
+
+    cells = np.zeros((PARTS, size), np.uint16)
+    for row in parts.repartition(PARTS, "part").mapInArrow(run, "part int, cells binary").toLocalIterator():
+        cells[row["part"]] = np.frombuffer(pa.decompress(bytes(row["cells"]), size * 2, "zstd"), np.uint16)
+    return cells.reshape(-1)
 
 
-def _prefixes(docs: DataFrame, n: int, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def _prefixes(docs: DataFrame, n: int, percent: int, counts: np.ndarray) -> DataFrame:
     """(gram, salt, d1, d2, n, at) of each prefix: ``at`` is the n-gram's place in its set, ``salt`` deals the n-grams of very many documents."""
-    order = np.argsort(frequent[0])
-    sent = docs.sparkSession.sparkContext.broadcast((frequent[0][order], frequent[1][order]))  # FREQUENT entries at most
+    sent = docs.sparkSession.sparkContext.broadcast(counts)  # CELLS entries
     fields = pa.schema([("gram", pa.int64()), ("salt", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64()), ("n", pa.int32()), ("at", pa.int32())])
 
     def run(batches):
-        known, counts = sent.value
+        counts = sent.value
         seen: set[int] = set()
         for batch in blocks(batches, "text", HELD):
             each = sets(batch.column("text"), n)
@@ -152,15 +168,10 @@ def _prefixes(docs: DataFrame, n: int, percent: int, frequent: tuple[np.ndarray,
                     continue
                 seen.add(int(one[i]))
                 length = len(s) - _up(percent * len(s), 100) + 1
-                salt = np.zeros(length, np.int32)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                    count = np.where(known[at] == s, counts[at], 0)
-                    pick = np.argsort(count, kind="stable")[:length]
-                    s, count = s[pick], count[pick]
-                    tasks = _up(count, GATHER).astype(np.uint64)
-                    salt[count > GATHER] = (one[i] % tasks[count > GATHER]).astype(np.int32) + 1
-                out.append((s[:length], salt, i, len(s)))
+                count = counts[cell_of(s, len(counts))]
+                pick = np.argsort(count, kind="stable")[:length]
+                salt = np.where(count[pick] >= GATHER, int(one[i]) % DEALT + 1, 0).astype(np.int32)
+                out.append((s[pick], salt, i, len(s)))
             if len(seen) > 500_000:
                 seen.clear()
             if out:
@@ -343,12 +354,13 @@ def similar_sets(docs: DataFrame, n: int = 4, percent: int = 85, every: bool = F
     """(summary of each row, links). ``docs``: doc (long), text, mark (long). Summary: row, doc, mark, n, d1, d2 and node, the row that stands for its set. Links: distinct pairs u > v of nodes
     whose sets have ``percent`` of their union in common: with ``every`` all of them, else enough to hold every component together."""
     raw = materialise(_summary(docs, n), "sets")
-    rows = raw.where("row is not null").drop("gram", "count")
-    frequent = _frequent(materialise(raw.where("gram is not null").groupBy("gram").agg(F.sum("count").alias("count")), "counted"))
+    rows = raw.where("row is not null").drop("part", "cells")
+    counts = _counts(raw.where("part is not null").select("part", "cells"))
+    release(docs.sparkSession)
     nodes = materialise(rows.where("n > 0").groupBy("d1", "d2").agg(F.min(F.struct("row", "doc", "n")).alias("r")).select("d1", "d2", "r.*"), "nodes")
     gathered = Window.partitionBy("gram", "salt")
     shared = (F.min("d1").over(gathered) != F.max("d1").over(gathered)) | (F.col("salt") > 0)
-    several = materialise(_prefixes(docs.select("doc", "text"), n, percent, frequent).withColumn("several", shared).where("several").select("gram", "d1", "d2", "at"), "shared-prefixes")
+    several = materialise(_prefixes(docs.select("doc", "text"), n, percent, counts).withColumn("several", shared).where("several").select("gram", "d1", "d2", "at"), "shared-prefixes")
     index = materialise(several.join(nodes.select("d1", "d2", "row", "n"), ["d1", "d2"]).select("gram", "row", "n", "at").dropDuplicates(["gram", "row"]), "index")
     lists = materialise(index.groupBy("gram").agg(F.count(F.lit(1)).alias("size"), F.min("row").alias("first")).where("size > 1"), "lists")
     discard(several)

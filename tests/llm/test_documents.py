@@ -315,6 +315,24 @@ def test_jaccard_long_lists(spark, monkeypatch):
     assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == brute_components(rows)
 
 
+def test_jaccard_common_ngrams_form_no_groups(spark, monkeypatch):
+    """Phrases that occur now and then in unrelated documents, never twice near each other, come last in the order of n-grams, so they join no sets to groups."""
+    monkeypatch.setattr(jaccard, "LONG", 4)
+    monkeypatch.setattr(jaccard, "COUNTED", 64)
+    sizes, write = {}, jaccard.materialise
+
+    def written(df, name, *by):
+        out = write(df, name, *by)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "materialise", written)
+    rows = [(i, " ".join([*(f"w{i}-{k}" for k in range(60)), *(f"phrase{i % 12} {i % 12} of words".split()), *(f"v{i}-{k}" for k in range(60))])) for i in range(240)]
+    got = by_id(jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == {i: (121, i) for i, _ in rows}
+    assert sizes["groups"] == 0 and sizes["shared-prefixes"] == 0
+
+
 def test_jaccard_links(spark, monkeypatch):
     """Every link is counted, inside components too: short and long lists, near copies, copies, texts without words."""
     monkeypatch.setattr(jaccard, "LONG", 4)
