@@ -1,8 +1,8 @@
 """From cells to a model: templates (one per copied formula), blocks (rectangles of a template), their graph, roles, rules and inputs.
 
 Cells are a DataFrame (sheet, row, col, formula, c, format). Keys, islands and overlaps are computed in Spark; what reaches the driver is
-one row per template, block and edge: some hundreds for a workbook of a million cells. One pass over the cells makes runs of rows by template,
-of which the rest is derived; a second one fetches a formula of each template.
+one row per template, block and edge: some hundreds for a workbook of a million cells. One pass over the cells makes runs of copies in a column,
+of which the rest is derived; a second one fetches the first formula of each of these and reads only their rows, where they are few.
 """
 
 from __future__ import annotations
@@ -16,8 +16,13 @@ from ..operators.joins import overlap_edges
 from ..operators.windows import column_runs, run_rectangles
 from . import formula as L
 
+_TEXT, _SHEET, _START, _END = r'"[^"]*+(?:""[^"]*+)*+"', r"(?:'[^']*+(?:''[^']*+)*+'|[A-Za-z_\\][\w.\\]*+)!", r"(?<![\w.\\\[\x{80}-\x{10FFFF}])", r"(?![\w(.\x{80}-\x{10FFFF}])"
 #: Texts in quotes, and cell references that stand alone: not the end of a name, a number such as 1E5 or a table's column.
-_KEY = r""""[^"]*(?:""[^"]*)*"|(?<![\w.\\\[\x{80}-\x{10FFFF}])(?:(?:'[^']*(?:''[^']*)*'|[A-Za-z_\\][\w.\\]*)!)?\$?[A-Za-z]{1,3}\$?[0-9]+(?![\w(.\x{80}-\x{10FFFF}])"""
+_KEY = rf"{_TEXT}|{_START}(?:{_SHEET})?\$?[A-Za-z]{{1,3}}\$?[0-9]+{_END}"
+#: The same, of which only rows that move with the cell are taken, beside what stands before them.
+_ROWS = rf"({_TEXT})|{_START}((?:{_SHEET})?\$?[A-Za-z]{{1,3}})([0-9]{{1,18}}+){_END}"
+#: Templates' first rows that are named in a filter when formulas are fetched.
+NAMED_ROWS = 1000
 _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 
@@ -36,6 +41,14 @@ def template_key(formula: Column, row: Column, col: Column) -> Column:
     return F.concat(F.array(F.regexp_replace(formula, _KEY, "\x01")), F.transform(words, relative))
 
 
+def copy_key(formula: Column, row: Column) -> Column:
+    """What copies of one formula in one column share: a struct of the formula with a mark for each row that moves, and these rows made relative. Equal keys of a column have equal
+    ``template_key``s, which cost several times as much. Null for null."""
+    rows = F.regexp_extract_all(formula, F.lit(_ROWS), F.lit(3))
+    rows = F.transform(rows, lambda n: F.when(n != "", n.cast("long") - row))  # a text in quotes has none; casts that fail are slow
+    return F.when(formula.isNotNull(), F.struct(F.regexp_replace(formula, _ROWS, "$1$2\x01").alias("text"), rows.alias("rows")))
+
+
 @dataclass(frozen=True)
 class Rect:
     sheet: str
@@ -195,30 +208,42 @@ def topological(nodes: list[int], edges: set[tuple[int, int]]) -> tuple[list[int
     return order, cycles
 
 
+def _formulas_of(cells: DataFrame, homes: DataFrame) -> DataFrame:
+    """``homes`` (sheet, key, col, row) with the formulas that are there. Where the rows are few, cells of others aren't made."""
+    rows = [r["row"] for r in homes.select("row").distinct().limit(NAMED_ROWS + 1).collect()]
+    near = cells.where(F.col("row").isin(*rows)) if len(rows) <= NAMED_ROWS else cells
+    found = near.where("formula is not null").select("sheet", "row", "col", "formula").join(homes, ["sheet", "row", "col"])
+    # keys are compared with what has been found, not in the join, where each cell would need one
+    found = found.groupBy("sheet", "row", "col", "key").agg(F.collect_set("formula").alias("__all")).select("sheet", "row", "col", "key", F.explode("__all").alias("formula"))
+    return found.where(copy_key(F.col("formula"), F.col("row")) == F.col("key"))
+
+
 def derive(cells: DataFrame, names: dict[str, str] | None = None, scope: list[str] | None = None, roles: dict[str, str] | None = None) -> Model:
     """The model of a workbook. ``names``: defined name to an absolute reference; ``scope``: sheets to take; ``roles``: overrides."""
     spark = cells.sparkSession
     if scope is not None:
         cells = cells.where(F.col("sheet").isin(*scope))
     trees = {k.lower(): L.parse(v) for k, v in (names or {}).items()}
-    key = template_key(F.col("formula"), F.col("row"), F.col("col"))
-    runs = column_runs(cells.select("sheet", "row", "col", key.alias("key")), ["sheet", "key"]).persist()  # a row for at most 64 cells; constants have no key
+    runs = column_runs(cells.select("sheet", "row", "col", copy_key(F.col("formula"), F.col("row")).alias("key")), ["sheet", "key"]).persist()  # a row for at most 64 cells; constants have no key
     used = {r["sheet"]: (r["r"], r["c"]) for r in runs.groupBy("sheet").agg(F.max("hi").alias("r"), F.max("col").alias("c")).collect()}
     formulas = runs.where("key is not null")
-    first = formulas.groupBy("sheet", "key").agg(F.min(F.struct("lo", "col")).alias("first")).select("sheet", F.col("first.lo").alias("row"), F.col("first.col").alias("col"), F.col("key").alias("__key"))  # one row for each template
-    groups = cells.where("formula is not null").select("sheet", "row", "col", "formula").join(F.broadcast(first), ["sheet", "row", "col"]).withColumn("key", key).where("key = __key").drop("__key").collect()
+    homes = _formulas_of(cells, formulas.groupBy("sheet", "key", "col").agg(F.min("lo").alias("row"))).withColumn("template", template_key(F.col("formula"), F.col("row"), F.col("col"))).persist()
+    groups = homes.groupBy("sheet", "template").agg(F.min(F.struct("row", "col", "formula")).alias("first")).select("sheet", "template", "first.*").collect()  # one row for each template
     canonical, parsed = [], {}
     for g in sorted(groups, key=lambda g: (g["sheet"], g["row"], g["col"], g["formula"])):
         tree = L.parse(g["formula"], g["row"], g["col"], g["sheet"])
         text = L.render(tree)
         parsed.setdefault((g["sheet"], text), (tree, "=" + g["formula"].removeprefix("=")))
-        canonical.append((g["sheet"], g["key"], text))
+        canonical.append((g["sheet"], g["template"], text))
     if not canonical:
         runs.unpersist()
+        homes.unpersist()
         return Model([], set(), [], [], trees, used)
-    texts = spark.createDataFrame(list({(s, tuple(k)): (s, k, text) for s, k, text in canonical}.values()), "sheet string, key array<string>, text string")
-    merged = formulas.join(F.broadcast(texts), ["sheet", "key"])  # one row for each template
+    texts = spark.createDataFrame(canonical, "sheet string, template array<string>, text string")
+    of = homes.select("sheet", "key", "col", "template").distinct().join(F.broadcast(texts), ["sheet", "template"]).select("sheet", "key", "col", "text")  # one row for each template and column
+    merged = formulas.join(of, ["sheet", "key", "col"])
     rects = run_rectangles(merged.select("sheet", "text", "col", "lo", "hi"), ["sheet", "text"]).orderBy("sheet", "c1", "r1").collect()
+    homes.unpersist()
     blocks = []
     for i, r in enumerate(rects):
         tree, sample = parsed[r["sheet"], r["text"]]

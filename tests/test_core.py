@@ -408,3 +408,27 @@ def test_wide_ranges_are_no_python_lists(spark, monkeypatch):
     assert values_of(values) == {("T", 1, 1): 5050.0, ("T", 2, 1): 67.0, ("T", 3, 1): 1683.0, ("T", 4, 1): 338350.0, ("T", 5, 1): "more"}
     got = RR.lineage(values, cells, m, "T!A5")
     assert got["value"] == got["stored"] == "more" and got["decisions"][0][3] is True and [(r["reference"], r["cells"], len(r["values"])) for r in got["reads"]] == [("S!A1:A100", 100, 8), ("A2", 1, 1)]
+
+
+def test_copy_key_and_fetched_rows(spark):
+    """Copies in a column have one copy key exactly where they have one template key; formulas are made once for all rows, and a second time for templates' first rows only."""
+    from pyspark.sql import functions as F
+
+    from gridloom.functions.values import EMPTY, cell
+    from gridloom.plans.model import copy_key, derive, template_key
+
+    texts = ["A{r}+1", "A{r}+2", "a{r}+1", "A$2+A{r}", "A2+A{r}", "$A{r}*'It''s A{r}'!$B${r}", 'IF(A{r}="A{r}","say ""A{r}""",B{a})', "SUM(A$2:A{r})", "ABC{r}.x+Sheet{r}!A{a}", "1E{r}+A{r}", "LOG10(A{r})", "Rate{r}*T[A{r}]", "A000{r}", "A12345678901234567"]
+    rows = [(t.replace("{r}", str(r)).replace("{a}", str(r - 1)), r, 5) for t in texts for r in (2, 3, 12, 100)] + [(None, 2, 5)]
+    got = spark.createDataFrame(rows, "f string, r int, c int").select(copy_key(F.col("f"), F.col("r")).alias("a"), template_key(F.col("f"), F.col("r"), F.col("c")).alias("b")).collect()
+    pairs = {(str(x["a"]), str(x["b"])) for x in got}
+    assert {a for a, b in pairs if b == "None"} == {"None"} and len({a for a, _ in pairs}) == len(pairs)
+    made = spark.sparkContext.accumulator(0)
+
+    def formula(row):
+        made.add(1)
+        return f"A{row}*2" if row < 1000 else f"A{row}*3"
+
+    rows = spark.range(1, 2001).select(F.col("id").cast("int").alias("row"))
+    cells = rows.select(F.lit("S").alias("sheet"), "row", F.lit(2).alias("col"), F.udf(formula, "string")("row").alias("formula"), cell(EMPTY).alias("c"), F.lit(None).cast("string").alias("format"))
+    assert [b.rect.a1() for b in derive(cells).blocks] == ["S!B1:B999", "S!B1000:B2000"]
+    assert made.value <= 2010
